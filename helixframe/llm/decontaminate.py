@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, emit, map_arrow, row_sums, runs, stored, table
+from ._common import Words, chunks, emit, map_arrow, reachable, row_sums, runs, stored, table
 
 WINDOW, SHARD_BYTES, SAMPLE_RATE, ROUND_WORDS = 13, 2_000_000, 16, 2_000_000
 
@@ -284,6 +284,7 @@ def n_hit(spans: str = "spans"):
 def keep_clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The documents that aren't contaminated, all columns with them; no shuffle."""
     spark = docs.sparkSession
+    reachable(spark)
     first, *later = [spark.sparkContext.broadcast(p) for p in rounds(items, window=window)]
 
     @F.arrow_udf("boolean")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, emit, map_arrow, table
+from ._common import chunks, emit, map_arrow, reachable, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 BASE_KINDS = KINDS[:4]
@@ -132,6 +132,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with their personal data replaced in ``text``; all columns stay."""
     import pandas as pd
 
+    reachable(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(t: pd.Series) -> pd.Series:
         return t.map(redact_text, na_action="ignore")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _WORD, Words, chunks, crc_mod5, emit, map_arrow, runs, span_hashes, stored, table, texts
+from ._common import _WORD, Words, chunks, crc_mod5, emit, map_arrow, reachable, runs, span_hashes, stored, table, texts
 
 DIMENSIONS, SAMPLE, GRADES, STEPS = 1 << 16, 20_000, 2, 300
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -155,6 +155,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def select(docs: DataFrame, model: Model, least: float = 0.5, over: int = 0) -> DataFrame:
     """The documents whose probability of a grade above ``over`` is at least ``least``, all columns with them; no shuffle."""
+    reachable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, crc_mod5, emit, map_arrow, span_hashes, stored, table
+from ._common import Words, chunks, crc_mod5, emit, map_arrow, reachable, span_hashes, stored, table
 
 CELLS, SAMPLE, PRIOR, DRIFT, SIGNIFICANT, TOPS, LEVELS = 1 << 18, 50_000, 10.0, 0.7, 0.05, 16, (4, 6, 0)
 
@@ -248,6 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a score under 0.5, all columns with them; no shuffle."""
+    reachable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
