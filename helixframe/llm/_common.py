@@ -18,13 +18,16 @@ CHUNK_BYTES = 2_000_000
 
 # ---------------------------------------------------------------- folders
 
+_OWN: list[str] = []
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="helixframe-"))
+        base = _OWN[0]
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -130,13 +130,11 @@ def redact_text(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with their personal data replaced in ``text``; all columns stay."""
-    import pandas as pd
-
     reachable(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def clean(t: pd.Series) -> pd.Series:
-        return t.map(redact_text, na_action="ignore")
+    @F.arrow_udf("string")
+    def clean(column: pa.Array) -> pa.Array:
+        return pa.array([redact_text(t) for t in column.to_pylist()], pa.string())
 
     return docs.withColumn("text", clean(F.col("text").cast("string")))
 

@@ -249,7 +249,7 @@ def lookup(shards: DataFrame, wanted: DataFrame, *, whole_keys: bool = False) ->
         files, at, shard = Files(), -1, None
         for b in batches:
             out, size = [], 0
-            for s, key, page in zip(*(b.column(c).to_pylist() for c in ("shard", "key", "page_id")), strict=True):
+            for s, key, page in () if not shared.value[1] else zip(*(b.column(c).to_pylist() for c in ("shard", "key", "page_id")), strict=True):
                 if s != at:
                     at, shard = s, Shard(files, shared.value[1][s])
                 for archive, offset, length in shard.find(key, NONE if page is None and not whole_keys else page):
