@@ -34,12 +34,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A benchmark log made of the line items: value, l_orderkey, l_linenumber."""
+    """A benchmark log made of the line items: value and the keys."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     unit = F.element_at(F.array(*map(F.lit, ("ns", "µs", "us", "ms"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
     operation = F.element_at(F.array(*map(F.lit, benchmark_log.OPERATIONS)), (F.col("l_partkey") % 4 + 1).cast("int"))
     line = F.format_string("%s/method_%d/%d  time:   [%d.25 %s %d.5 %s %d.75 %s]", operation, F.col("l_linenumber").cast("long"), F.col("l_suppkey").cast("long"), *(x for _ in range(3) for x in (F.col("l_partkey").cast("long"), unit)))
-    return items.select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 10 == 9, F.lit("Benchmarking something else")).otherwise(line).alias("value"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_orderkey") % 10 == 9, F.lit("Benchmarking something else")).otherwise(line).alias("value"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def log_summary(spark, d):
 
 
 def log_latest(spark, d):
-    found = log_lines(spark, d).withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    found = log_lines(spark, d).withColumn("at", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey"))
     parsed = found.select("at", F.explode(F.regexp_extract_all("value", F.lit(benchmark_log.PATTERN), F.lit(0))).alias("value"))
     r = lambda i: F.regexp_extract("value", benchmark_log.PATTERN, i)
     parsed = parsed.select("at", r(1).alias("operation"), r(2).alias("method"), r(3).cast("int").alias("seq_length"), benchmark_log.to_ns(r(6).cast("double"), r(7)).alias("time_median_ns"))
@@ -261,7 +261,7 @@ _UNIT = "CASE l_orderkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 1000000 ELSE 1000 END"
 _RESULTS = (
     "(SELECT CASE l_partkey % 4 WHEN 0 THEN 'encode' WHEN 1 THEN 'decode' WHEN 2 THEN 'roundtrip' ELSE 'reverse_complement' END AS operation, 'method_' || l_linenumber AS method,"
     f" cast(l_suppkey as int) AS seq_length, (l_partkey + 0.25::double) * {_UNIT} AS time_low_ns, (l_partkey + 0.5::double) * {_UNIT} AS time_median_ns, (l_partkey + 0.75::double) * {_UNIT} AS time_high_ns,"
-    " l_orderkey * 10 + l_linenumber AS place FROM lineitem WHERE l_orderkey % 10 != 9)"
+    " (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS place FROM lineitem WHERE l_orderkey % 10 != 9)"
 )
 _SHOWN = "CASE WHEN t >= 1e9 THEN printf('%.1f G', t / 1e9) WHEN t >= 1e6 THEN printf('%.0f M', t / 1e6) WHEN t >= 1e3 THEN printf('%.0f K', t / 1e3) ELSE printf('%.0f', t) END"
 _EVENTS = f"(SELECT event_id, substr({_digits('event_id', 'user_id', 'varchar')}, 1, cast(event_id % 64 as int)) AS seq FROM events)"
