@@ -18,18 +18,23 @@ def encode2(seq: Column | str) -> Column:
     """Packed two-bit codes."""
     digits = F.translate(latin1(seq), BYTES, _DIGITS)
     padded = F.rpad(digits, (F.ceil(F.length(digits) / 4) * 4).cast("int"), F.lit("0"))
-    digit = lambda i, k: F.substring(padded, i * 2 + k, F.lit(1)).cast("int")
-    pair = lambda i: F.substring(F.lit(HEX), digit(i, 1) * 4 + digit(i, 2) + 1, F.lit(1))
-    return F.when(F.length(digits) == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((F.length(padded) / 2).cast("int"), F.lit(1)) - 1), pair), "")))
+    digit = lambda d, i, k: F.substring(d, i * 2 + k, F.lit(1)).cast("int")
+    pair = lambda d, i: F.substring(F.lit(HEX), digit(d, i, 1) * 4 + digit(d, i, 2) + 1, F.lit(1))
+    return F.unhex(_joined(padded, 2, pair))
+
+
+def _joined(text: Column, step: int, part) -> Column:
+    """part(text, 0), part(text, 1), ... for each ``step`` characters, joined. The outer lambda holds the text, so that it is made once, not for each part."""
+    whole = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((F.length(d) / step).cast("int"), F.lit(1)) - 1), lambda i: part(d, i)), "")
+    return F.element_at(F.transform(F.array(text), lambda d: F.when(F.length(d) == 0, F.lit("")).otherwise(whole(d))), 1)
 
 
 def decode2(packed: Column | str, n_bases: Column | str | int) -> Column:
     """Text of the first n bases."""
     digits = F.hex(column(packed))
     n = F.lit(n_bases) if isinstance(n_bases, int) else column(n_bases)
-    pair = lambda i: F.substring(F.lit(_PAIRS), (F.instr(F.lit(HEX), F.substring(digits, i + 1, F.lit(1))) - 1) * 2 + 1, F.lit(2))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits), F.lit(1)) - 1), pair), "")
-    return F.when(F.length(digits) == 0, F.lit("")).otherwise(F.substring(text, F.lit(1), F.greatest(n, F.lit(0))))
+    pair = lambda d, i: F.substring(F.lit(_PAIRS), (F.instr(F.lit(HEX), F.substring(d, i + 1, F.lit(1))) - 1) * 2 + 1, F.lit(2))
+    return F.substring(_joined(digits, 1, pair), F.lit(1), F.greatest(n, F.lit(0)))
 
 
 def base_to_two_bits(base: Column | str) -> Column:
