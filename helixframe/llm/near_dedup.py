@@ -7,7 +7,8 @@ is an element of its own), kept in the order in which they stand in the text. Cl
 candidates, verified by a banded alignment of their words: they are linked if the edit distance is at most
 (1 - similarity) times the longer text's length. Groups are the connected components of the links. Two texts with the share J of common
 labelled shingles agree in a sketch with a probability of about J**PICKS; with 6 picks in 64 sketches that misses one pair in 100 million at J = 0.8, one
-in 2,000 at 0.7, and texts that merely share a passage (J = 0.2) meet in 0.4 % of cases.
+in 2,000 at 0.7, and texts that merely share a passage (J = 0.2) meet in 0.4 % of cases. Texts of at most PICKS shingles take fewer picks
+(``pick_sizes``): sketches of whole texts would only meet those of equal ones.
 
 A line or a pair of words said hundreds of times over would make otherwise different texts alike. So of each shingle the first OCCURRENCES count: later
 ones are neither sketched, nor are the words at which they begin aligned. (Copy classes are by all words.)
@@ -75,6 +76,16 @@ def labelled_shingles(hashes: np.ndarray, first: np.ndarray, k: int, most: int =
     return h, offsets, np.ones(len(hashes), bool)
 
 
+def pick_sizes(n: int, picks: int, similarity: float) -> tuple[int, ...]:
+    """How many shingles each sketch of a text of n takes.
+
+    Sketches that take all shingles of a text never meet those of a text that has one more. The shortest text with such a
+    partner has ``few``; up to ``picks`` shingles, texts take that many instead, and with exactly ``picks`` they take both.
+    """
+    few = min(picks, int(np.ceil(similarity / (1 - similarity) - 1e-9))) if similarity < 1 else picks
+    return (picks,) if n > picks else (few, picks) if n == picks > few else (few,)
+
+
 def order_minhash(h: np.ndarray, a: np.ndarray, picks: int) -> np.ndarray:
     """One sketch per multiplier for one text's labelled shingles: a hash of its smallest ones in text order."""
     n = len(h)
@@ -94,7 +105,7 @@ def order_minhash(h: np.ndarray, a: np.ndarray, picks: int) -> np.ndarray:
     return out
 
 
-def drawn(batches, shingle: int, picks: int, n: int):
+def drawn(batches, shingle: int, picks: int, n: int, similarity: float):
     """Per row: the id, a 128-bit key of its words (of its bytes if it has none; empty if it is empty), its number of words and of those that
     count, its sketches."""
     schema = pa.schema([("doc_id", pa.int64()), ("copy_key", pa.binary()), ("n_words", pa.int64()), ("counted", pa.int64()), ("sketches", pa.list_(pa.int64()))])
@@ -107,7 +118,9 @@ def drawn(batches, shingle: int, picks: int, n: int):
             own = w.hashes[w.first[i] : w.first[i + 1]].tobytes()
             raw = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes()
             keys.append(hashlib.blake2b(own, digest_size=16).digest() if own else hashlib.blake2b(raw, digest_size=16, key=b"raw").digest() if raw else b"")
-            got.append(order_minhash(h[at[i] : at[i + 1]], a, picks).view(np.int64) if own else np.zeros(0, np.int64))
+            own_h = h[at[i] : at[i + 1]]
+            sketches = [order_minhash(own_h, a, size) for size in pick_sizes(len(own_h), picks, similarity)] if own else [np.zeros(0, np.uint64)]
+            got.append(np.concatenate(sketches).view(np.int64))
         yield emit(schema, doc_id=part.column("doc_id"), copy_key=keys, n_words=w.counts(), counted=row_sums(counted.astype(np.int64), w.first), sketches=got)
 
 
@@ -233,7 +246,7 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     (aligned links of the copy class), kept (whether doc_id = group_id)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    keys = map_arrow(docs, lambda b: drawn(b, shingle, picks, n), "doc_id long, copy_key binary, n_words long, counted long, sketches array<long>")
+    keys = map_arrow(docs, lambda b: drawn(b, shingle, picks, n, similarity), "doc_id long, copy_key binary, n_words long, counted long, sketches array<long>")
     keys = keys.groupBy("doc_id").agg(F.min(F.struct("copy_key", "n_words", "counted", "sketches")).alias("k"))
     own_key = F.when(F.length("k.copy_key") > 0, F.col("k.copy_key")).otherwise(F.col("doc_id").cast("string").cast("binary"))
     keys = stored(keys.select("doc_id", own_key.alias("copy_key"), "k.n_words", "k.counted", "k.sketches"), spark, "copies")

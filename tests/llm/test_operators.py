@@ -89,6 +89,17 @@ def test_near_dedup_awkward(spark, docs):
     assert near_dedup.groups(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_short_texts(spark):
+    rows, r = [], random.Random(3)
+    for n in range(8, 16):  # n words, and the same with one more
+        for _ in range(5):
+            w = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            rows += [" ".join(w), " ".join([*w, "more"])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.group_id for x in near_dedup.groups(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()))
