@@ -130,9 +130,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """The documents, each repeated as often as the mix takes it; all columns with them."""
     copies = allocate(docs).where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "copies").distinct()
     copies = stored(copies, docs.sparkSession, "mix")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("i")) & F.col("source").cast("string").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z"))
-    taken = docs.withColumn("_size", size_of()).join(copies, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    taken = held.join(copies, same).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select("doc.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -353,6 +353,10 @@ def test_mixing(spark, docs):
             assert all(r.source_size == size[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 2 * r.size for r in own)
             assert abs(sum(r.taken for r in own) - target[s]) <= longest * (1 + 1e-9)
         assert len(rows) == frame.count() and sorted(map(repr, rows)) == sorted(map(repr, mixing.allocate(frame).collect()))
+    clashing = docs.selectExpr("*", "1 as i", "2 as s", "3 as z", "4 as copies", "5 as size", "6 as _size", "7 as _copy", "8 as doc", "9 as source_size", "10 as col")
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns and mixed.count() == mixing.mix(docs).count() == sum(r.copies for r in mixing.allocate(clashing).collect())
+    assert mixed.select(*clashing.columns[-10:]).distinct().collect() == [tuple(range(1, 11))]
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixing.allocate(docs.limit(0)).count() == 0
 
