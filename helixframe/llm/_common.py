@@ -33,10 +33,24 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark then removes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, spark: SparkSession, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` into the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing."""
-    path = work_dir(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    """Writes ``df`` into the shared folder and reads it back: the lineage ends there, and a lost executor costs nothing.
+
+    The write's shuffle files go when it ends, since nothing reads them again.
+    """
+    path, before = work_dir(spark, name), spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

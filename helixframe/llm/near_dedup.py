@@ -235,7 +235,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = ordered(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
         old, now = now, stored(small, spark, "edges")
         discard(old)
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out.stored_path = now.stored_path
+    return out
 
 
 # ---------------------------------------------------------------- the operator
@@ -265,26 +267,34 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     checked = stored(verified(stars, held, shingle, similarity), spark, "stars")
     links = checked.where("near").select("u", "v")
     # Members that don't match their bucket's leader, against the rest of the bucket.
-    root = stored(components(links), spark, "roots")
+    stars_of = components(links)
+    root = stored(stars_of, spark, "roots")
+    discard(stars_of)
     alone = within.where("id != lead").join(links.select(F.col("u").alias("lead"), F.col("v").alias("id")), ["lead", "id"], "left_anti")
     with_root = lambda d, name: d.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn(name, F.coalesce("root", "id")).drop("root")
     alone = with_root(alone.select("bucket", "id", "n"), "r").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
     rest = with_root(within.where("id != lead").join(alone.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "id", "n"), "r").select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     more = alone.join(rest, "bucket").where(F.col("ra") != F.col("rb")).where(fits("na", "nb")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     more = more.join(checked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = stored(verified(more, held, shingle, similarity), spark, "rest").where("near").select("u", "v")
-    links = links.union(more)
+    rest_checked = stored(verified(more, held, shingle, similarity), spark, "rest")
+    for d in (within, held, root):
+        discard(d)
+    links = links.union(rest_checked.where("near").select("u", "v"))
     root = components(links)
     degree = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = root.join(degree, "node", "left").select(F.col("node").alias("copy_id"), "root", "n_links")
     out = members.join(linked, "copy_id", "left").withColumn("group_id", F.coalesce("root", "copy_id"))
-    return out.select("doc_id", "copy_id", "group_id", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    out = out.select("doc_id", "copy_id", "group_id", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    out = stored(out, spark, "groups")
+    for d in (keys, members, checked, rest_checked, root):
+        discard(d)
+    return out
 
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that ``groups`` doesn't keep; one document of each group stays, all columns with it."""
     gone = groups(docs.select("doc_id", "text"), **parameters).where("not kept").select("doc_id")
-    return docs.join(stored(gone, docs.sparkSession, "gone"), "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
