@@ -132,7 +132,8 @@ def mix(docs: DataFrame) -> DataFrame:
     copies = stored(copies, docs.sparkSession, "mix")
     held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"))
     same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    taken = held.join(copies, same).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # Both sides grow with the data, so this join is dealt and sorted at every size.
+    taken = held.join(copies.hint("merge"), same).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return taken.select("doc.*")
 
 
