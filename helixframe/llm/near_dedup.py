@@ -293,7 +293,9 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that ``groups`` doesn't keep; one document of each group stays, all columns with it."""
-    gone = groups(docs.select("doc_id", "text"), **parameters).where("not kept").select("doc_id")
+    found = groups(docs.select("doc_id", "text"), **parameters)
+    gone = stored(found.where("not kept").select("doc_id"), docs.sparkSession, "gone")  # ids alone: often small enough to spare the texts a shuffle
+    discard(found)
     return docs.join(gone, "doc_id", "left_anti")
 
 
