@@ -10,12 +10,14 @@ labelled shingles agree in a sketch with a probability of about J**PICKS; with 6
 in 2,000 at 0.7, and texts that merely share a passage (J = 0.2) meet in 0.4 % of cases. Texts of at most PICKS shingles take fewer picks
 (``pick_sizes``): sketches of whole texts would only meet those of equal ones.
 
-A line or a pair of words said hundreds of times over would make otherwise different texts alike. So of each shingle the first OCCURRENCES count: later
-ones are neither sketched, nor are the words at which they begin aligned. (Copy classes are by all words.)
+Every occurrence of a shingle counts and all words are aligned: texts that say one line hundreds of times are near copies if what else they say
+is at most a fifth of the longer one.
 
 A bucket's members aren't paired with each other. All are aligned with the bucket's smallest member; those that match it
-hang together, and only members that fail are aligned with the rest of their bucket, where lengths allow a match and the two
-aren't connected yet. So no link of a bucket is lost, and a group of n near copies takes about n alignments.
+hang together, and only members that fail are aligned with the rest of their bucket, where lengths and words allow a match and the two
+aren't connected yet. So no link of a bucket is lost, and a group of n near copies takes about n alignments. Whether words allow a match is told
+by a bitmap of a text's words (``marked``): each bit that only one of two texts has set stands for a word that costs an edit. A pair that
+shares several buckets is taken from the first one.
 
 Defined results: a null text counts as empty. Texts without words are copies of one another only if they are equal and
 not empty; empty ones stay alone. A text of fewer than five words is one shingle. Rows with a null id are left out of
@@ -33,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, discard, emit, map_arrow, mix, row_sums, stored, table
+from ._common import Words, chunks, discard, emit, map_arrow, mix, stored, table
 
-SHINGLE, PICKS, SKETCHES, SIMILARITY, OCCURRENCES = 5, 6, 64, 0.8, 3
+SHINGLE, PICKS, SKETCHES, SIMILARITY = 5, 6, 64, 0.8
+#: Bits of a text's bitmap, and how many occurrences of a word set a bit each. More only make the bound before alignment sharper.
+MARKS, MARKED = 4096, 8
 
 
 # ---------------------------------------------------------------- sketches
@@ -46,8 +50,19 @@ def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def labelled_shingles(hashes: np.ndarray, first: np.ndarray, k: int, most: int = OCCURRENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the occurrence-labelled shingles, row after row; their n+1 offsets; which words count). A short row is one shingle."""
+def occurrences(key: np.ndarray) -> np.ndarray:
+    """How often each item's value stands before it."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    out = np.empty(len(s), np.uint64)
+    out[order] = (np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))).astype(np.uint64)
+    return out
+
+
+def labelled_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all occurrence-labelled shingles, row after row, and their n+1 offsets. A short row is one shingle."""
     n = np.diff(first)
     many = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     offsets = np.concatenate(([0], np.cumsum(many)))
@@ -60,20 +75,9 @@ def labelled_shingles(hashes: np.ndarray, first: np.ndarray, k: int, most: int =
         for j in range(k):
             h = h * np.uint64(0xD6E8FEB86659FD93) + np.where(place + j < last, padded[place + j], np.uint64(j + 1))
         h = mix(h)
-        key = mix(h + row.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        if len(s) and (s[1:] == s[:-1]).any():
-            new = np.concatenate(([True], s[1:] != s[:-1]))
-            start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-            label = np.empty(len(s), np.uint64)
-            label[order] = (np.arange(len(s)) - start).astype(np.uint64)
-            h = np.where(label > 0, mix(h + label * np.uint64(0x8EBC6AF09C88C6E3)), h)
-            keep = label < most
-            counted = np.ones(len(hashes), bool)
-            counted[place[~keep]] = False
-            return h[keep], np.concatenate(([0], np.cumsum(keep)))[offsets], counted
-    return h, offsets, np.ones(len(hashes), bool)
+        label = occurrences(mix(h + row.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        h = np.where(label > 0, mix(h + label * np.uint64(0x8EBC6AF09C88C6E3)), h)
+    return h, offsets
 
 
 def pick_sizes(n: int, picks: int, similarity: float) -> tuple[int, ...]:
@@ -106,13 +110,12 @@ def order_minhash(h: np.ndarray, a: np.ndarray, picks: int) -> np.ndarray:
 
 
 def drawn(batches, shingle: int, picks: int, n: int, similarity: float):
-    """Per row: the id, a 128-bit key of its words (of its bytes if it has none; empty if it is empty), its number of words and of those that
-    count, its sketches."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy_key", pa.binary()), ("n_words", pa.int64()), ("counted", pa.int64()), ("sketches", pa.list_(pa.int64()))])
+    """Per row: the id, a 128-bit key of its words (of its bytes if it has none; empty if it is empty), its number of words, its sketches."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy_key", pa.binary()), ("n_words", pa.int64()), ("sketches", pa.list_(pa.int64()))])
     a = multipliers(n)
     for part in chunks(batches):
         w = Words(part.column("text"))
-        h, at, counted = labelled_shingles(w.hashes, w.first, shingle)
+        h, at = labelled_shingles(w.hashes, w.first, shingle)
         keys, got = [], []
         for i in range(part.num_rows):
             own = w.hashes[w.first[i] : w.first[i + 1]].tobytes()
@@ -121,7 +124,25 @@ def drawn(batches, shingle: int, picks: int, n: int, similarity: float):
             own_h = h[at[i] : at[i + 1]]
             sketches = [order_minhash(own_h, a, size) for size in pick_sizes(len(own_h), picks, similarity)] if own else [np.zeros(0, np.uint64)]
             got.append(np.concatenate(sketches).view(np.int64))
-        yield emit(schema, doc_id=part.column("doc_id"), copy_key=keys, n_words=w.counts(), counted=row_sums(counted.astype(np.int64), w.first), sketches=got)
+        yield emit(schema, doc_id=part.column("doc_id"), copy_key=keys, n_words=w.counts(), sketches=got)
+
+
+def marked(batches):
+    """Per row: the id, a bitmap of its words. Each of the first MARKED occurrences of a word sets a bit of its own, by hash.
+
+    A bit that x has set and y hasn't stands for an occurrence at least that x has more than y, so the edit distance is no less than the number of such bits.
+    """
+    schema = pa.schema([("id", pa.int64()), ("marks", pa.list_(pa.int64()))])
+    for part in chunks(batches):
+        w = Words(part.column("text"))
+        row = w.rows()
+        with np.errstate(over="ignore"):
+            label = occurrences(mix(w.hashes + row.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+            cell = mix(w.hashes + label * np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(MARKS - 1)
+        row, cell = row[label < MARKED], cell[label < MARKED]
+        bits = np.zeros((part.num_rows, MARKS // 64), np.uint64)
+        np.bitwise_or.at(bits, (row, (cell >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (cell & np.uint64(63)))
+        yield emit(schema, id=part.column("id"), marks=list(bits.view(np.int64)))
 
 
 # ---------------------------------------------------------------- alignment
@@ -188,7 +209,7 @@ def near(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
         band = min(most, band * 4)
 
 
-def aligned(batches, shingle: int, similarity: float):
+def aligned(batches, similarity: float):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("near", pa.bool_())])
     seen: dict[str, np.ndarray] = {}
 
@@ -196,8 +217,7 @@ def aligned(batches, shingle: int, similarity: float):
         if (w := seen.get(text)) is None:
             if len(seen) >= 64:
                 seen.clear()
-            own = Words(pa.array([text], pa.string()))
-            w = seen[text] = own.hashes[labelled_shingles(own.hashes, own.first, shingle)[2]]
+            w = seen[text] = Words(pa.array([text], pa.string())).hashes
         return w
 
     for batch in batches:
@@ -206,10 +226,10 @@ def aligned(batches, shingle: int, similarity: float):
             yield emit(schema, u=part.column("u"), v=part.column("v"), near=got)
 
 
-def verified(pairs: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """(u, v, near) of pairs (u, v); held: (id, text)."""
     both = pairs.join(held.select(F.col("id").alias("v"), F.col("text").alias("y")), "v").join(held.select(F.col("id").alias("u"), F.col("text").alias("x")), "u")
-    return map_arrow(both.select("u", "v", "x", "y"), lambda b: aligned(b, shingle, similarity), "u long, v long, near boolean")
+    return map_arrow(both.select("u", "v", "x", "y"), lambda b: aligned(b, similarity), "u long, v long, near boolean")
 
 
 # ---------------------------------------------------------------- components
@@ -248,36 +268,50 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     (aligned links of the copy class), kept (whether doc_id = group_id)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    keys = map_arrow(docs, lambda b: drawn(b, shingle, picks, n, similarity), "doc_id long, copy_key binary, n_words long, counted long, sketches array<long>")
-    keys = keys.groupBy("doc_id").agg(F.min(F.struct("copy_key", "n_words", "counted", "sketches")).alias("k"))
+    keys = map_arrow(docs, lambda b: drawn(b, shingle, picks, n, similarity), "doc_id long, copy_key binary, n_words long, sketches array<long>")
+    keys = keys.groupBy("doc_id").agg(F.min(F.struct("copy_key", "n_words", "sketches")).alias("k"))
     own_key = F.when(F.length("k.copy_key") > 0, F.col("k.copy_key")).otherwise(F.col("doc_id").cast("string").cast("binary"))
-    keys = stored(keys.select("doc_id", own_key.alias("copy_key"), "k.n_words", "k.counted", "k.sketches"), spark, "copies")
+    keys = stored(keys.select("doc_id", own_key.alias("copy_key"), "k.n_words", "k.sketches"), spark, "copies")
     first = keys.groupBy("copy_key").agg(F.min("doc_id").alias("copy_id"))
     members = stored(keys.select("doc_id", "copy_key", "n_words").join(first, "copy_key").select("doc_id", "copy_id", "n_words"), spark, "members")
     classes = members.where("doc_id = copy_id and n_words > 0").select("doc_id")
-    buckets = keys.select("doc_id", F.col("counted").alias("n"), "sketches").join(classes, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("sketches").alias("bucket"))
+    buckets = keys.select("doc_id", F.col("n_words").alias("n"), "sketches").join(classes, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("sketches").alias("bucket"))
     low = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1").select("bucket", "lead")
     within = stored(buckets.join(low, "bucket"), spark, "buckets")
     wanted = within.select("id").distinct()
     held = stored(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi"), spark, "texts")
     fits = lambda a, b: F.abs(F.col(a) - F.col(b)) <= (1 - similarity) * F.greatest(a, b) + 1e-9
     stars = within.where("id != lead").groupBy(F.col("lead").alias("u"), F.col("id").alias("v")).agg(F.max("n").alias("n"))
-    lengths = keys.select(F.col("doc_id").alias("u"), F.col("counted").alias("n_lead"))
+    lengths = members.select(F.col("doc_id").alias("u"), F.col("n_words").alias("n_lead"))
     stars = stars.join(lengths, "u").where(fits("n", "n_lead")).select("u", "v")
-    checked = stored(verified(stars, held, shingle, similarity), spark, "stars")
+    checked = stored(verified(stars, held, similarity), spark, "stars")
     links = checked.where("near").select("u", "v")
     # Members that don't match their bucket's leader, against the rest of the bucket.
     stars_of = components(links)
     root = stored(stars_of, spark, "roots")
     discard(stars_of)
-    alone = within.where("id != lead").join(links.select(F.col("u").alias("lead"), F.col("v").alias("id")), ["lead", "id"], "left_anti")
-    with_root = lambda d, name: d.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn(name, F.coalesce("root", "id")).drop("root")
-    alone = with_root(alone.select("bucket", "id", "n"), "r").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    rest = with_root(within.where("id != lead").join(alone.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "id", "n"), "r").select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    more = alone.join(rest, "bucket").where(F.col("ra") != F.col("rb")).where(fits("na", "nb")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    with_root = lambda d: d.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("r", F.coalesce("root", "id")).drop("root")
+    matched = links.select(F.col("u").alias("lead"), F.col("v").alias("id"), F.lit(True).alias("matched"))
+    rest = with_root(within.where("id != lead")).join(matched, ["lead", "id"], "left").select("bucket", "id", "n", "r", F.col("matched").isNull().alias("alone"))
+    unconnected = rest.groupBy("bucket").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low != high").select("bucket")
+    rest = rest_stored = stored(rest.join(unconnected, "bucket", "left_semi"), spark, "unconnected")
+    texts_of = held.join(rest.select("id").distinct(), "id", "left_semi")
+    marks = map_arrow(texts_of.select("id", "text"), marked, "id long, marks array<long>").join(keys.select(F.col("doc_id").alias("id"), "sketches"), "id")
+    marks = stored(marks, spark, "marks")
+    rest = rest.join(marks, "id")
+    side = lambda d, x: d.select("bucket", F.col("id").alias(x), *(F.col(c).alias(c + x) for c in ("n", "r", "alone", "marks", "sketches")))
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
+    worded = lambda x, y: only(x, y) <= (1 - similarity) * F.greatest("na", "nb") + 1e-9
+    once = ~F.col("aloneb") | (F.col("a") < F.col("b"))  # of two that are both alone, and of several buckets, one pair
+    more = side(rest.where("alone"), "a").join(side(rest, "b"), "bucket").where(F.col("ra") != F.col("rb")).where(once & fits("na", "nb"))
+    more = more.where(worded("marksa", "marksb")).where(worded("marksb", "marksa")).where(F.array_min(F.array_intersect("sketchesa", "sketchesb")) == F.col("bucket"))
+    more = more.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     more = more.join(checked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    rest_checked = stored(verified(more, held, shingle, similarity), spark, "rest")
-    for d in (within, held, root):
+    more = stored(more, spark, "pairs")  # the bitmaps' shuffle files go before texts are shuffled
+    for d in (within, root, rest_stored, marks):
+        discard(d)
+    rest_checked = stored(verified(more, held, similarity), spark, "rest")
+    for d in (held, more):
         discard(d)
     links = links.union(rest_checked.where("near").select("u", "v"))
     root = components(links)

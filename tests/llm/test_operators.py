@@ -100,6 +100,46 @@ def test_near_dedup_of_short_texts(spark):
     assert got == {i: i - i % 2 for i in range(len(rows))}
 
 
+def repetitive_texts():
+    """Long texts that repeat a line: few edits far apart, other numbers of repeats, short texts with the line, and other lines with the same own words."""
+    r = random.Random(5)
+    line = [f"l{i}" for i in range(10)]
+    other = [f"o{i}" for i in range(10)]
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    edited = line * 60
+    edited[100], edited[500] = "x", "y"
+    said = own(20)
+    rows = [line * 60, edited, line * 3, line * 4, line * 50 + own(5), line * 59 + own(30), line * 30, [*line * 40, *own(150)], [*line * 40, *own(160)], [*said, *line * 12], [*said, *other * 12], line * 50 + own(90), line * 50 + own(100)]
+    return [" ".join(x) for x in rows]
+
+
+def groups_by_edit_distance(texts):
+    """The smallest place of each text's group, if texts are linked by an edit similarity of 0.8."""
+    w = [words(t) for t in texts]
+    root = list(range(len(w)))
+    for b in range(len(w)):
+        for a in range(b):
+            if distance(w[a], w[b]) <= 0.2 * max(len(w[a]), len(w[b])) + 1e-9:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    return root
+
+
+def test_near_dedup_of_repetitive_texts(spark):
+    texts = repetitive_texts()
+    want = groups_by_edit_distance(texts)
+    assert len(set(want)) > 5 and want[1] == 0 and want[2] != 0
+    got = {x.doc_id: x.group_id for x in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_marks_bound_the_distance(x, y):
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([0, 1], pa.int64()), "text": [" ".join(f"w{i}" for i in t) for t in (x, y)]})
+    a, b = (np.array(m, np.int64) for m in next(near_dedup.marked([batch])).column("marks").to_pylist())
+    assert max(np.bitwise_count(a & ~b).sum(), np.bitwise_count(b & ~a).sum()) <= distance(x, y)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()))
