@@ -476,6 +476,12 @@ def test_pipeline(spark):
     assert len(rows) == sum(copies.values()) and {r.doc_id for r in rows} == set(got)
 
 
+def test_near_dedup_stage_on_repetitive_texts(spark):
+    texts = repetitive_texts()
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == sorted(set(groups_by_edit_distance(texts)))
+
+
 @pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "pipeline"])
 def test_registered(name):
     import __spark_entry__
