@@ -51,7 +51,7 @@ class Encoder:
 
     The model's own splitting rule cuts a text into pieces that are encoded independently of each other: `` ?letters``, `` ?digits``, `` ?others``, white space
     (its last character goes with what follows, or stands alone if it isn't a blank), and the English contractions. Here the cuts are found for a
-    whole chunk at once by character classes; texts with a contraction's apostrophe go to the library whole.
+    whole chunk at once by character classes; texts with a contraction's apostrophe or an added token's content go to the library whole.
     """
 
     _classes: np.ndarray | None = None
@@ -61,7 +61,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -92,7 +92,7 @@ class Encoder:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
 
     def pieces(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the pieces of all rows, for rows without contractions."""
+        """Starts and ends of the pieces of all rows, for rows without contractions and added tokens."""
         kind = self.classes()[points]
         n = len(kind)
         if not n:
@@ -120,7 +120,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and their n+1 offsets."""
         strings = column.fill_null("").to_pylist()
-        odd = [i for i, t in enumerate(strings) if "'" in t]
+        odd = [i for i, t in enumerate(strings) if "'" in t or any(x in t for x in self.added)]
         plain = list(strings)
         for i in odd:
             plain[i] = ""

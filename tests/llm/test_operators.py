@@ -205,6 +205,17 @@ def test_encoder_equals_the_library():
         assert np.array_equal(ids[at[i] : at[i + 1]], own), texts[i]
 
 
+def test_encoder_finds_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "plain words", None, "it's <|endoftext|><|endoftext|>", "x<|endoftext|", "  <|endoftext|>\n\n y"]
+    ids, at = token_files.Encoder(path).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids
+
+
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=300), st.integers(6, 12), st.integers(1, 50))
 @settings(max_examples=100, deadline=None)
 def test_huffman_round_trip(ids, limit, block):
