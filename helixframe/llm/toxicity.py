@@ -5,7 +5,7 @@ pseudo-occurrences smooth them in levels: the classes' sizes are the prior of a
 of the whole word, so that a rare word scores like the words that begin like it. One linear scan (Ruzzo and Tompa 1999) finds every maximal-scoring segment of a
 text. A segment's score S in n words has the E-value K n exp(-lambda S) (Karlin and Altschul 1990): lambda solves sum p exp(lambda s) = 1 over
 the clean words, and K is the maximum-likelihood value for the best segments of the clean training texts. Segments with an E-value of at most
-SIGNIFICANT are toxic passages. A document's evidence, (lambda S - ln K n) of its best segment and the sum over its passages, becomes a
+SIGNIFICANT are toxic passages. A document's evidence, (lambda S - ln K n) of its best segment and the sum over all segments where it is positive, becomes a
 probability by logistic regression on the training texts.
 
 Words are hashed to CELLS cells, so that the model's size is fixed. It is fitted on up to SAMPLE labelled documents, those with the smallest id
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._common import Words, chunks, crc_mod5, emit, map_arrow, reachable, span_hashes, stored, table
 
-CELLS, SAMPLE, PRIOR, DRIFT, SIGNIFICANT, TOPS, LEVELS = 1 << 18, 50_000, 10.0, 0.7, 0.05, 16, (4, 6, 0)
+CELLS, SAMPLE, PRIOR, DRIFT, SIGNIFICANT, LEVELS = 1 << 18, 50_000, 10.0, 0.7, 0.05, (4, 6, 0)
 
 
 def segments(low: list[float], high: list[float]) -> list[tuple[int, int]]:
@@ -115,7 +115,7 @@ def evidence(found: list, n_words: np.ndarray, model: Model) -> tuple[np.ndarray
         e = [float(model.evidence(s, n_words[i])) for _, _, s in rows]
         passages.append([(a, b, s, float(np.exp(-v))) for (a, b, s), v in zip(rows, e, strict=True) if v >= -np.log(SIGNIFICANT)])
         x[i, 1] = np.clip(max(e, default=-10.0), -10, 30)
-        x[i, 2] = np.log1p(sum(max(0.0, v) for v in sorted(e, reverse=True)[:TOPS]))
+        x[i, 2] = np.log1p(sum(max(0.0, v) for v in e))
     return x, passages
 
 
@@ -197,24 +197,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             at = cells(w)
             own = own_occurrences(w, at)  # a text's own words don't count for it
             s = shared.value.scores(at, own * np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), w.counts()), own)
-            tops = [sorted((x for _, _, x in row), reverse=True)[:TOPS] for row in scan(w, s)]
+            found = [[x for _, _, x in row] for row in scan(w, s)]
             clean = [np.bincount(np.clip(np.rint(s[a:b] * 10).astype(int) + 200, 0, 400), minlength=401) * (not t) for a, b, t in zip(w.first, w.first[1:], part.column("toxic").to_pylist(), strict=False)]
-            yield emit(schema, toxic=part.column("toxic"), n_words=w.counts(), doc=part.column("doc_id"), tops=tops, spread=[x.tolist() for x in clean])
+            yield emit(schema, toxic=part.column("toxic"), n_words=w.counts(), doc=part.column("doc_id"), found=found, spread=[x.tolist() for x in clean])
 
-    schema = pa.schema([("toxic", pa.int32()), ("n_words", pa.int64()), ("doc", pa.int64()), ("tops", pa.list_(pa.float64())), ("spread", pa.list_(pa.int64()))])
-    seen = map_arrow(own.select("doc_id", "text", "toxic"), best, "toxic int, n_words long, doc long, tops array<double>, spread array<long>")
-    seen = seen.groupBy("doc").agg(F.max(F.struct("toxic", "n_words", "tops", "spread")).alias("r")).select("r.*")
+    schema = pa.schema([("toxic", pa.int32()), ("n_words", pa.int64()), ("doc", pa.int64()), ("found", pa.list_(pa.float64())), ("spread", pa.list_(pa.int64()))])
+    seen = map_arrow(own.select("doc_id", "text", "toxic"), best, "toxic int, n_words long, doc long, found array<double>, spread array<long>")
+    seen = seen.groupBy("doc").agg(F.max(F.struct("toxic", "n_words", "found", "spread")).alias("r")).select("r.*")
     seen = stored(seen, spark, "evidence")
     spread = seen.select(F.posexplode("spread").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 401 rows
     p = np.zeros(401)
     p[spread["at"]] = spread["n"]
     model.rate = solve_rate(p / max(1, p.sum()), (np.arange(401) - 200) / 10)
-    seen = seen.drop("spread").toPandas()  # at most ``sample`` rows of TOPS numbers
-    clean = seen[(seen.toxic == 0) & (seen.n_words > 0)]
-    top = clean.tops.map(lambda t: t[0] if len(t) else 0.0)
-    model.k = float(1 / max(1e-12, (clean.n_words * np.exp(-model.rate * top)).mean())) if len(clean) else 1.0
-    x, _ = evidence([[(0, 0, s) for s in row] for row in seen.tops], seen.n_words.to_numpy(), model)
-    model.weights = tuple(logistic(x, seen.toxic.to_numpy(float)))
+    clean = seen.where("toxic = 0 and n_words > 0").select("n_words", F.coalesce(F.array_max("found"), F.lit(0.0)).alias("top")).toPandas()  # at most ``sample`` rows
+    model.k = float(1 / max(1e-12, (clean.n_words * np.exp(-model.rate * clean.top)).mean())) if len(clean) else 1.0
+    calibrated = Model(np.zeros(0), np.zeros(0), rate=model.rate, k=model.k)
+
+    def inputs(batches):
+        for batch in batches:
+            x, _ = evidence([[(0, 0, s) for s in row] for row in batch.column("found").to_pylist()], batch.column("n_words").to_numpy(), calibrated)
+            yield emit(input_schema, toxic=batch.column("toxic"), best=x[:, 1], all=x[:, 2])
+
+    input_schema = pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("all", pa.float64())])
+    rows = map_arrow(seen.select("toxic", "n_words", "found"), inputs, "toxic int, best double, all double").toPandas()  # at most ``sample`` rows
+    model.weights = tuple(logistic(np.column_stack((np.ones(len(rows)), rows["best"], rows["all"])), rows.toxic.to_numpy(float)))
     return model
 
 

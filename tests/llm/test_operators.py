@@ -369,6 +369,13 @@ def test_segments_are_maximal(scores):
     assert sum(total[j] - total[i] for i, j in got) == sum(total[j] - total[i] for i, j in plain(0, len(s)))
 
 
+def test_toxicity_sums_all_segments():
+    model = toxicity.Model(np.zeros(0), np.zeros(0), rate=1.0, k=1.0)
+    scores = [9.0 + i / 100 for i in range(300)]
+    x, _ = toxicity.evidence([[(2 * i, 2 * i + 1, s) for i, s in enumerate(scores)]], np.array([1000]), model)
+    assert x[0, 2] == pytest.approx(np.log1p(sum(max(0.0, s - np.log(1000)) for s in scores)))
+
+
 def test_toxicity_held_out(spark, docs):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
