@@ -264,6 +264,10 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), url_filter.train(url_filter.rule_labels(pages.limit(0)))).count() == 0
 
 
+def test_url_suffix_cells_take_the_whole_suffix():
+    assert len({url_filter.cell(f"{x}news.com") for x in ("bad", "good", "world", "")}) == 4
+
+
 def test_url_trees_learn():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 5)).astype(np.float32)
