@@ -6,9 +6,11 @@ function each, the ``PICKS`` smallest occurrence-labelled shingles of ``SHINGLE`
 is an element of its own), kept in the order in which they stand in the text. Classes that share a sketch are
 candidates, verified by a banded alignment of their words: they are linked if the edit distance is at most
 (1 - similarity) times the longer text's length. Groups are the connected components of the links. Two texts with the share J of common
-labelled shingles agree in a sketch with a probability of about J**PICKS; with 6 picks in 64 sketches that misses one pair in 100 million at J = 0.8, one
-in 2,000 at 0.7, and texts that merely share a passage (J = 0.2) meet in 0.4 % of cases. Texts of at most PICKS shingles take fewer picks
-(``pick_sizes``): sketches of whole texts would only meet those of equal ones.
+labelled shingles, c of u, agree in a sketch with a probability of C(c, picks) / C(u, picks), which is about J**picks in long texts. With 6 picks in 64 sketches
+that misses one pair in 100 million at J = 0.8, one in 2,000 at 0.7, and texts that merely share a passage (J = 0.2) meet in 0.4 % of cases. In shorter texts
+picks without replacement agree more rarely, so that texts of at most SHORT shingles take fewer (``pick_sizes``). At J = 0.8 that misses, by the number u of
+both texts' shingles together: one pair in 1.6 million with u = 5, fewer than one in 100 million from 6 to SHORT, one in 7 million with 25, in 48 million with 50,
+in 118 million with 100.
 
 Every occurrence of a shingle counts and all words are aligned: texts that say one line hundreds of times are near copies if what else they say
 is at most a fifth of the longer one.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ._common import Words, chunks, discard, emit, map_arrow, mix, stored, table
 
-SHINGLE, PICKS, SKETCHES, SIMILARITY = 5, 6, 64, 0.8
+SHINGLE, PICKS, SKETCHES, SIMILARITY, SHORT = 5, 6, 64, 0.8, 24
 #: Bits of a text's bitmap, and how many occurrences of a word set a bit each. More only make the bound before alignment sharper.
 MARKS, MARKED = 4096, 8
 
@@ -84,10 +86,11 @@ def pick_sizes(n: int, picks: int, similarity: float) -> tuple[int, ...]:
     """How many shingles each sketch of a text of n takes.
 
     Sketches that take all shingles of a text never meet those of a text that has one more. The shortest text with such a
-    partner has ``few``; up to ``picks`` shingles, texts take that many instead, and with exactly ``picks`` they take both.
+    partner has ``few``; up to SHORT (or ``picks``) shingles, texts take that many instead, and those that a longer text can be similar to take both.
     """
     few = min(picks, int(np.ceil(similarity / (1 - similarity) - 1e-9))) if similarity < 1 else picks
-    return (picks,) if n > picks else (few, picks) if n == picks > few else (few,)
+    most = max(SHORT, picks)
+    return (picks,) if n > most or few == picks else (few, picks) if n >= similarity * (most + 1) - 1e-9 else (few,)
 
 
 def order_minhash(h: np.ndarray, a: np.ndarray, picks: int) -> np.ndarray:

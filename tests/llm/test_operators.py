@@ -140,6 +140,17 @@ def test_marks_bound_the_distance(x, y):
     assert max(np.bitwise_count(a & ~b).sum(), np.bitwise_count(b & ~a).sum()) <= distance(x, y)
 
 
+def test_sketches_of_short_texts_miss_few_pairs():
+    from math import comb
+
+    for a in range(4, 61):
+        for b in range(a, 61):
+            for c in range(a + 1):
+                if c >= 0.8 * (a + b - c):
+                    shared = set(near_dedup.pick_sizes(a, 6, 0.8)) & set(near_dedup.pick_sizes(b, 6, 0.8))
+                    assert min((1 - comb(c, k) / comb(a + b - c, k)) ** 64 for k in shared) < 1e-6, (a, b, c)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()))
