@@ -5,7 +5,8 @@ expected grade and the tail probabilities. x is a text's hashed tokens, DIMENSIO
 characters than words and white space, and word shapes (length and capitals), as relative frequencies, and cells for its number of words, its share of such
 runs, and its share of words that repeat the one before.
 
-The model is fitted on up to SAMPLE rated documents, those with the smallest id hashes, and never on held-out ones (crc32 of the id as text
+The model is fitted on up to SAMPLE rated documents, those with the smallest id hashes, fewer if their texts have more than MOST_CELLS different cells
+together (which bounds the driver's memory), and never on held-out ones (crc32 of the id as text
 divisible by 5): a bounded sample is the documented parameter. For the registered query the grade is 0 for quality 0, 1 for quality 1 that is
 also labelled toxic, 2 for quality 1 that isn't; ``select`` keeps documents whose probability of a grade over 0 is at least 0.5.
 
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _WORD, Words, chunks, crc_mod5, emit, map_arrow, reachable, runs, span_hashes, stored, table, texts
+from ._common import _WORD, Words, chunks, crc_mod5, discard, emit, map_arrow, reachable, runs, smallest, span_hashes, stored, table, texts
 
-DIMENSIONS, SAMPLE, GRADES, STEPS = 1 << 16, 20_000, 2, 300
+DIMENSIONS, SAMPLE, MOST_CELLS, GRADES, STEPS = 1 << 16, 20_000, 8_000_000, 2, 300
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Share of a text's weight that each kind of token has.
 KINDS = {"word": 2.0, "prefix": 2.0, "mark": 2.0, "shape": 1.0}
@@ -119,13 +120,18 @@ def _features(batches):
         yield emit(schema, doc_id=part.column("doc_id"), grade=part.column("grade"), cells=lists((key % DIMENSIONS).astype(np.int32)), weights=lists(values))
 
 
-def train(docs: DataFrame, ratings: DataFrame, top: int = GRADES, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, top: int = GRADES, sample: int = SAMPLE, most_cells: int = MOST_CELLS) -> Model:
     """The model, from rows (doc_id, grade) of documents that aren't held out."""
     rows = ratings.where("doc_id is not null and grade is not null").where(crc_mod5() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("grade").cast("int")).alias("grade"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of 12 bytes, so the broadcast is bounded
+    chosen = smallest(rows, sample, "doc_id")  # at most ``sample`` rows of 12 bytes, so the broadcast is bounded
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(crc_mod5() != 0).join(F.broadcast(chosen), "doc_id")
     seen = map_arrow(own.select("doc_id", "grade", "text"), _features, "doc_id long, grade int, cells array<int>, weights array<float>")
-    seen = stored(seen, docs.sparkSession, "features").toArrow().combine_chunks()  # ``sample`` rows
+    held = stored(seen, docs.sparkSession, "features")
+    sizes = held.select(F.xxhash64("doc_id").alias("h"), F.size("cells").alias("n")).toPandas().sort_values(["h", "n"])  # ``sample`` small rows, and one more for each repeated id
+    sizes = sizes[sizes["n"].cumsum() <= most_cells]
+    last = int(sizes["h"].iloc[-1]) if len(sizes) else -(2**63)
+    seen = held.where(F.xxhash64("doc_id") <= last).toArrow().combine_chunks()  # about ``most_cells`` cells
+    discard(held)
     if not seen.num_rows:
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(top))
     flat = lambda name: seen.column(name).combine_chunks().flatten().to_numpy()
@@ -167,8 +173,8 @@ def select(docs: DataFrame, model: Model, least: float = 0.5, over: int = 0) ->
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 for quality 0, 1 for quality 1 with toxic 1, 2 for other quality 1."""
-    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).cast("int").alias("grade"))
+    """(doc_id, grade): 0 for quality 0, 1 for quality 1 with toxic 1, 2 for other quality 1, null for a null quality."""
+    return labels.select("doc_id", F.when(F.col("quality").isNull(), F.lit(None)).when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).cast("int").alias("grade"))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

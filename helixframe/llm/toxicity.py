@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, crc_mod5, emit, map_arrow, reachable, span_hashes, stored, table
+from ._common import Words, chunks, crc_mod5, discard, emit, map_arrow, reachable, smallest, span_hashes, stored, table
 
 CELLS, SAMPLE, PRIOR, DRIFT, SIGNIFICANT, LEVELS = 1 << 18, 50_000, 10.0, 0.7, 0.05, (4, 6, 0)
 
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model, from the text of labelled documents that aren't held out."""
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(crc_mod5() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of 12 bytes, so the broadcast is bounded
+    chosen = smallest(rows, sample, "doc_id")  # at most ``sample`` rows of 12 bytes, so the broadcast is bounded
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(crc_mod5() != 0).join(F.broadcast(chosen), "doc_id")
     counted = map_arrow(own.select("text", "toxic"), _counts, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     got = counted.toPandas()  # at most CELLS rows for each level
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     schema = pa.schema([("toxic", pa.int32()), ("n_words", pa.int64()), ("doc", pa.int64()), ("found", pa.list_(pa.float64())), ("spread", pa.list_(pa.int64()))])
     seen = map_arrow(own.select("doc_id", "text", "toxic"), best, "toxic int, n_words long, doc long, found array<double>, spread array<long>")
     seen = seen.groupBy("doc").agg(F.max(F.struct("toxic", "n_words", "found", "spread")).alias("r")).select("r.*")
-    seen = stored(seen, spark, "evidence")
+    seen = held = stored(seen, spark, "evidence")
     spread = seen.select(F.posexplode("spread").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 401 rows
     p = np.zeros(401)
     p[spread["at"]] = spread["n"]
@@ -221,6 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     input_schema = pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("all", pa.float64())])
     rows = map_arrow(seen.select("toxic", "n_words", "found"), inputs, "toxic int, best double, all double").toPandas()  # at most ``sample`` rows
     model.weights = tuple(logistic(np.column_stack((np.ones(len(rows)), rows["best"], rows["all"])), rows.toxic.to_numpy(float)))
+    discard(held)
     return model
 
 
