@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bits import pack, windows
-from ._common import chunks, discard, emit, map_arrow, mix, open_fs, put_file, ragged, span_hashes, stored, table, work_dir
+from ._common import chunks, discard, emit, map_arrow, mix, open_fs, put_file, ragged, span_hashes, stored, table, texts, work_dir
 
+#: Letters that follow the apostrophe of a contraction, alone or before an e (and ll).
+CONTRACTED_ONE, CONTRACTED_TWO = [ord(x) for x in "stmd"], [ord(x) for x in "rv"]
 LIMIT, BLOCK, END, MAGIC = 18, 1024, 2, b"HXTOK1\0\0"
 #: Ids per file, about 40 MB; a longer document still goes into one file.
 FILE_TOKENS = 30_000_000
-#: Words kept by a tokenizing worker before it starts afresh.
-KEPT_WORDS = 1_500_000
+#: Ids per writing task, as long as these are fewer than MOST_PARTS; then tasks grow. That bounds the sketch of the ranges' bounds and their broadcast.
+PART_TOKENS, MOST_PARTS = 8_000_000, 20_000
+#: Words kept by a tokenizing worker before it starts afresh; bytes of text tokenized at once.
+KEPT_WORDS, CHUNK = 2_000_000, 500_000
 
 
 def tokenizer_path() -> str:
@@ -51,7 +57,7 @@ class Encoder:
 
     The model's own splitting rule cuts a text into pieces that are encoded independently of each other: `` ?letters``, `` ?digits``, `` ?others``, white space
     (its last character goes with what follows, or stands alone if it isn't a blank), and the English contractions. Here the cuts are found for a
-    whole chunk at once by character classes; texts with a contraction's apostrophe or an added token's content go to the library whole.
+    whole chunk at once by character classes; texts with an added token's content go to the library whole.
     """
 
     _classes: np.ndarray | None = None
@@ -61,14 +67,12 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of pieces
-        self.place = np.zeros(0, np.int64)
-        self.many = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
+        self.known = HashTable()
+        self.place, self.many, self.flat = Growing(np.int64), Growing(np.int32), Growing(np.int32)
 
     @classmethod
     def classes(cls) -> np.ndarray:
@@ -91,86 +95,141 @@ class Encoder:
     def whole(self, texts_: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
 
-    def pieces(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the pieces of all rows, for rows without contractions and added tokens."""
+    def pieces(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of the pieces of all rows end to end, which cover all characters."""
         kind = self.classes()[points]
         n = len(kind)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         first = np.zeros(n + 1, bool)
         first[offsets] = True
-        new = first[:n].copy()
-        new[1:] |= kind[1:] != kind[:-1]
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], n)
-        space = kind[start] == 0
-        inner = space & ~first[end]  # white space that something follows
-        last_blank = points[end - 1] == 32
-        cut = np.where(inner, end - 1, -1)
-        # A run of white space is cut before its last character; what follows a blank begins with it.
-        starts = np.where(~space & (start > 0) & ~first[start], start - (np.append(False, (space & inner & last_blank)[:-1])), start)
-        a, b = [starts[~space]], [end[~space]]
-        tail = inner & ~last_blank
-        a += [start[space & ~inner], start[inner & (cut > start)], cut[tail]]
-        b += [end[space & ~inner], cut[inner & (cut > start)], end[tail]]
-        a, b = np.concatenate(a), np.concatenate(b)
-        order = np.argsort(a)
-        return a[order], b[order]
+        start = first[:n].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        # A run of white space that something follows is cut before its last character; a blank there goes with what follows.
+        last = np.zeros(n, bool)
+        last[:-1] = (kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:n]
+        start |= last
+        led = np.zeros(n, bool)
+        led[1:] = (last & (points == 32))[:-1]
+        start &= ~led
+        mark = np.flatnonzero((points == 39) & start)  # apostrophes that begin a piece: contractions
+        if len(mark):
+            end = np.append(offsets, n)[np.searchsorted(offsets, mark, "right")]
+            one, two = (points[np.minimum(mark + k, n - 1)] * (mark + k < end) for k in (1, 2))
+            size = np.where(np.isin(one, CONTRACTED_ONE), 1, np.where((one == ord("l")) & (two == ord("l")) | np.isin(one, CONTRACTED_TWO) & (two == ord("e")), 2, 0))
+            mark, size, end = (x[size > 0] for x in (mark, size, end))
+            start[mark + 1] = False
+            after = mark + 1 + size
+            start[after[after < end]] = True
+        return np.flatnonzero(start)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and their n+1 offsets."""
-        strings = column.fill_null("").to_pylist()
-        odd = [i for i, t in enumerate(strings) if "'" in t or any(x in t for x in self.added)]
-        plain = list(strings)
-        for i in odd:
-            plain[i] = ""
-        joined = "".join(plain)
+        data, at = texts(column)
+        n = len(at) - 1
+        raw = data.tobytes()
+        odd = sorted({int(np.searchsorted(at, m.start(), "right")) - 1 for x in self.added if x in raw for m in re.finditer(re.escape(x), raw)})
+        if odd:  # texts with an added token's content
+            keep = np.ones(n, bool)
+            keep[odd] = False
+            ids, out = self.encode(column.filter(pa.array(keep)))
+            lists = {i: ids[x:y] for i, x, y in zip(np.flatnonzero(keep).tolist(), out, out[1:], strict=False)}
+            lists |= dict(zip(odd, self.whole([raw[at[i] : at[i + 1]].decode() for i in odd]), strict=True))
+            return np.concatenate([lists[i] for i in range(n)]), np.concatenate(([0], np.cumsum([len(lists[i]) for i in range(n)]))).astype(np.int64)
+        joined = raw.decode()
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in plain]))).astype(np.int64)
-        a, b = self.pieces(points, offsets)
-        h = span_hashes(points, a, b) ^ (b - a).astype(np.uint64)
-        at = self.look_up(h, a, b, joined)
-        many = self.many[at]
-        ids = self.flat[ragged(self.place[at], many)]
+        if len(points) < len(data):
+            at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))[at]
+        a = self.pieces(points, at)
+        b = np.append(a[1:], len(points))
+        number = self.look_up(span_hashes(points, a, b) | np.uint64(1), a, b, joined)
+        many = self.many.held[number]
+        ids = self.flat.held[ragged(self.place.held[number], many)]
         total = np.concatenate(([0], np.cumsum(many, dtype=np.int64)))
-        out = total[np.searchsorted(a, offsets)]
-        if not odd:
-            return ids, out
-        lists = [ids[x:y] for x, y in zip(out, out[1:], strict=False)]
-        for i, own in zip(odd, self.whole([strings[i] for i in odd]), strict=True):
-            lists[i] = own
-        return np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of one piece: the library's merges, on the piece's bytes as the vocabulary writes them."""
-        if text[0] == " " and text.isascii() and text[1:].isalnum():
-            written = BYTE_CHARACTERS[32] + text[1:]
-        else:
-            written = text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return [t.id for t in self.tokenizer.model.tokenize(written)]
+        return ids, total[np.searchsorted(a, at)]
+
+    def new_pieces(self, texts_: list[str]) -> list[list[int]]:
+        """Ids of pieces: the library's merges, on the pieces' bytes as the vocabulary writes them."""
+        joined = "".join(texts_)
+        sizes = map(len, texts_) if joined.isascii() else [len(t.encode()) for t in texts_]
+        written, at, tokenize, out = joined.encode().decode("latin-1").translate(BYTE_CHARACTERS), 0, self.tokenizer.model.tokenize, []
+        for n in sizes:
+            out.append([t.id for t in tokenize(written[at : at + n])])
+            at += n
+        return out
 
     def look_up(self, h, a, b, joined: str) -> np.ndarray:
-        """Places of the pieces' hashes among those kept, once the new ones are encoded."""
-        if len(self.keys) > KEPT_WORDS:
+        """Numbers of the pieces with these hashes among those kept, once the new ones are encoded."""
+        if self.known.size > KEPT_WORDS:
             self.clear()
-        for _ in range(2):
-            at = np.searchsorted(self.keys, h)
-            known = np.zeros(len(h), bool)
-            if len(self.keys):
-                at = np.minimum(at, len(self.keys) - 1)
-                known = self.keys[at] == h
-            if known.all():
-                return at
-            missing = np.flatnonzero(~known)
-            new, which = np.unique(h[missing], return_index=True)
+        at = self.known.find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, which, number = np.unique(h[missing], return_index=True, return_inverse=True)
             which = missing[which]
-            ids = [self.piece(joined[x:y]) for x, y in zip(a[which].tolist(), b[which].tolist(), strict=True)]
+            ids = self.new_pieces([joined[x:y] for x, y in zip(a[which].tolist(), b[which].tolist(), strict=True)])
             many = np.array([len(x) for x in ids], np.int32)
-            place = len(self.flat) + np.cumsum(many, dtype=np.int64) - many
-            self.flat = np.concatenate((self.flat, np.array([y for x in ids for y in x], np.int32)))
-            into = np.searchsorted(self.keys, new)
-            self.keys, self.place, self.many = np.insert(self.keys, into, new), np.insert(self.place, into, place), np.insert(self.many, into, many)
-        raise AssertionError("unreachable: all pieces have just been added")
+            self.place.add(self.flat.n + np.cumsum(many, dtype=np.int64) - many)
+            self.many.add(many)
+            self.flat.add(np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())))
+            at[missing] = self.known.size + number
+            self.known.add(new)
+        return at
+
+
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.n, self.held = 0, np.zeros(1 << 12, kind)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.append(self.held, np.zeros(max(len(self.held), len(values)), self.held.dtype))
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class HashTable:
+    """Numbers 0, 1, ... of 64-bit hashes other than 0, in order of their addition: open addressing, all look-ups of a batch together."""
+
+    def __init__(self):
+        self.size, self.bits = 0, 16
+        self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The hashes' numbers, -1 for those not there."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, self.numbers[slot], np.int32(-1))
+        left = np.flatnonzero((key != h) & (key != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            at = slot[left]
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.numbers[at[hit]]
+            left = left[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes that aren't there yet."""
+        numbers = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        self.size += len(h)
+        if self.size * 2 > len(self.keys):
+            full = self.keys != 0
+            h, numbers = np.append(self.keys[full], h), np.append(self.numbers[full], numbers)
+            while self.size * 2 > 1 << self.bits:
+                self.bits += 2
+            self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]  # of several for one slot one stays
+            won = self.keys[at] == h[left]
+            self.numbers[at[won]] = numbers[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -189,31 +248,62 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _tokenized(batches, path: str, end: int):
-    """(doc_id, n, ids): the ids as two planes, low 16 bits and (if needed) high ones, each byte by byte, which compress better so."""
+    """(doc_id, n, ids, counts) of each document: its ids as two planes, low 16 bits and (if needed) high ones, each byte by byte, which compress better so;
+    at last one row that holds only ``counts``, how often each id stands in all these documents."""
     if path not in _ENCODERS:  # one for all tasks of a worker
         _ENCODERS[path] = Encoder(path)
     encoder = _ENCODERS[path]
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-    for part in chunks(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+    total = np.zeros(end + 1, np.int64)
+    for part in chunks(batches, most=CHUNK):
         ids, at = encoder.encode(part.column("text"))
-        own = [np.append(ids[x:y], np.int32(end)) for x, y in zip(at, at[1:], strict=False)]
-        yield emit(schema, doc_id=part.column("doc_id"), n=[len(x) for x in own], ids=[planes(x) for x in own])
+        total = added(total, np.bincount(ids))
+        total[end] += part.num_rows
+        ids, n = np.insert(ids, at[1:], end), np.diff(at) + 1
+        yield emit(schema, doc_id=part.column("doc_id"), n=n, ids=planes(ids, n), counts=pa.nulls(len(n), pa.binary()))
+    yield emit(schema, doc_id=[None], n=[0], ids=[None], counts=[total.astype("<i8").tobytes()])
+
+
+def added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of two arrays of counts, the shorter one continued by zeros."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    x = x.copy()
+    x[: len(y)] += y
+    return x
+
+
+def _planes_at(counts: np.ndarray, wide: int) -> np.ndarray:
+    """Where each byte of rows of ids stands once each row's bytes are sorted into planes: (bytes of an id, ids)."""
+    first = np.cumsum(counts) - counts
+    place = np.arange(counts.sum()) + np.repeat(first * (wide - 1), counts)
+    return place + np.arange(wide)[:, None] * np.repeat(counts, counts)
 
 
-def planes(ids: np.ndarray) -> bytes:
-    wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return ids.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
+def planes(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of ids (end to end, ``counts`` of each, one at least) as planes of 2 bytes an id, or 4 in rows with an id of more than 16 bits."""
+    if not len(ids) or ids.max() < 1 << 16:
+        out = np.empty(2 * len(ids), np.uint8)
+        out[_planes_at(counts, 2)] = ids.astype("<u2").view(np.uint8).reshape(-1, 2).T
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(2 * counts))).astype(np.int32)), pa.py_buffer(out)])
+    rows = np.split(ids, np.cumsum(counts)[:-1])
+    wide = [2 if x.max() < 1 << 16 else 4 for x in rows]
+    return pa.array([x.astype(f"<u{k}").view(np.uint8).reshape(-1, k).T.tobytes() for x, k in zip(rows, wide, strict=True)], pa.binary())
 
 
-def unplanes(data: bytes, n: int) -> np.ndarray:
-    wide = len(data) // n if n else 2
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, n).T).view(f"<u{wide}").ravel().astype(np.int64)
+def unplanes(column: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The ids of all rows end to end."""
+    data, offsets = texts(column)
+    if np.array_equal(np.diff(offsets), 2 * counts):
+        low, high = data[_planes_at(counts, 2)]
+        return low.astype(np.int64) | high.astype(np.int64) << 8
+    rows = ((data[a:b], n) for a, b, n in zip(offsets, offsets[1:], counts.tolist(), strict=False))
+    return np.concatenate([np.ascontiguousarray(x.reshape(-1, n).T).view(f"<u{len(x) // n}").ravel().astype(np.int64) for x, n in rows])
 
 
 def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (see ``planes``) of each row."""
+    """doc_id, n (ids with the end id), ids (see ``planes``), counts (null) of each row, and a row of counts for each partition (see ``_tokenized``)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(docs, lambda b: _tokenized(b, path, end), "doc_id long, n long, ids binary")
+    return map_arrow(docs, lambda b: _tokenized(b, path, end), "doc_id long, n long, ids binary, counts binary")
 
 
 # ---------------------------------------------------------------- the code
@@ -369,20 +459,21 @@ def write_files(docs: DataFrame, *, path: str | None = None, end: int = END, fol
     """Writes the documents' ids; one row per file: uri, part, seq (its order among files is part, then seq), documents, tokens, start (ids in all files before it)."""
     spark = docs.sparkSession
     path, folder = path or tokenizer_path(), folder or work_dir(spark, "tokens")
-    tokens = stored(tokenize(docs, path, end), spark, "ids")
-    counts = map_arrow(tokens, _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # as many rows as the vocabulary at most
+    held = stored(tokenize(docs, path, end), spark, "ids")
+    tokens = held.where("counts is null").select("doc_id", "n", "ids")
+    counts = map_arrow(held.where("counts is not null").select("counts"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # as many rows as the vocabulary at most
     total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     total[counts["id"]] = counts["n"]
     lengths = code_lengths(total)
-    parts = max(1, int(-(-total.sum() // min(file_tokens, 8_000_000))))
+    parts = min(MOST_PARTS, max(1, int(-(-total.sum() // min(file_tokens, PART_TOKENS)))))
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)[0]))  # a vocabulary of code lengths and codes
     bounds = tokens.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts + 1000)).first()[0] or []
-    edges = spark.sparkContext.broadcast(np.unique(np.array(bounds if parts > 1 else [], np.int64)))  # one number per part
+    edges = spark.sparkContext.broadcast(np.unique(np.array(bounds if parts > 1 else [], np.int64)))  # fewer than MOST_PARTS numbers
     coded = map_arrow(tokens, lambda b: _coded(b, shared.value, edges.value), "part int, doc_id long, n long, tie long, data binary, checkpoints binary")
     # Ranges of ids of about equal size; each holds whole ids, so files follow one another.
     dealt = coded.repartitionById(len(edges.value) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "n")
     kept = stored(map_arrow(dealt, lambda b: _written(b, folder, shared.value[0], file_tokens), "part int, seq int, uri string, documents long, tokens long"), spark, "token-files")
-    discard(tokens)
+    discard(held)
     rows = kept.orderBy("part", "seq").collect()  # one small row per file
     out, start = [], 0
     for r in rows:
@@ -394,11 +485,8 @@ def write_files(docs: DataFrame, *, path: str | None = None, end: int = END, fol
 def _counted(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-            own = np.bincount(unplanes(ids.as_py(), n), minlength=len(total))
-            if len(own) > len(total):
-                total = np.append(total, np.zeros(len(own) - len(total), np.int64))
-            total += own
+        for own in batch.column("counts"):
+            total = added(total, np.frombuffer(own.as_py(), "<i8"))
     at = np.flatnonzero(total)
     yield emit(pa.schema([("id", pa.int64()), ("n", pa.int64())]), id=at, n=total[at])
 
@@ -408,17 +496,14 @@ def _coded(batches, code, edges):
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tie", pa.int64()), ("data", pa.binary()), ("checkpoints", pa.binary())])
     for batch in chunks(batches, "ids", 1_000_000):
         n = batch.column("n").to_numpy()
-        own = [unplanes(x.as_py(), k) for x, k in zip(batch.column("ids"), n, strict=True)]
-        ids = np.concatenate(own)
-        data, offsets, inside = encode_ids(ids, n, codes, lengths)
+        data, offsets, inside = encode_ids(unplanes(batch.column("ids"), n), n, codes, lengths)
         blocks = np.concatenate(([0], np.cumsum(-(-n // BLOCK))))
-        ties = mix(np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], np.uint64)).view(np.int64)
+        raw, at = texts(batch.column("ids"))
+        ties = mix(np.array([zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], np.uint64)).view(np.int64)
         doc_ids = batch.column("doc_id")
         part = np.searchsorted(edges, doc_ids.fill_null(-(1 << 63)).to_numpy(), "right")
-        yield emit(
-            schema, part=part.astype(np.int32), doc_id=doc_ids, n=n, tie=ties, data=[data[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)],
-            checkpoints=[inside[a:b].astype("<u8").tobytes() for a, b in zip(blocks, blocks[1:], strict=False)],
-        )
+        rows = lambda x, first: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+        yield emit(schema, part=part.astype(np.int32), doc_id=doc_ids, n=n, tie=ties, data=rows(data, offsets), checkpoints=rows(inside.astype("<u8"), blocks * 8))
 
 
 def _written(batches, folder: str, lengths: np.ndarray, file_tokens: int):

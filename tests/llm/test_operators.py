@@ -207,24 +207,68 @@ def test_pii_added_kinds_and_redaction(spark, docs):
 # ---------------------------------------------------------------- 3
 
 
+def library_ids(texts):
+    """By the library alone, freshly made."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(token_files.tokenizer_path()).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encoder_ids(texts):
+    ids, at = token_files.Encoder(token_files.tokenizer_path()).encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
 def test_encoder_equals_the_library():
-    encoder = token_files.Encoder(token_files.tokenizer_path())
     r = random.Random(5)
-    texts = ["".join(r.choice("ab1 \n\t-é'½\u2003s\u3000\x00ÿ\xad") for _ in range(r.randrange(30))) for _ in range(5000)] + ["don't we'll", "<|endoftext|> x", "日本 1"]
-    ids, at = encoder.encode(pa.array(texts))
-    for i, own in enumerate(encoder.whole(texts)):
-        assert np.array_equal(ids[at[i] : at[i + 1]], own), texts[i]
+    texts = ["".join(r.choice("ab1 \n\t-é'½\u2003s\u3000\x00ÿ\xad") for _ in range(r.randrange(30))) for _ in range(5000)]
+    texts += ["".join(r.choice(["'", "'", " ", "s", "t", "re", "ve", "m", "ll", "d", "l", "v", "S", "x", "-", "1", "\n"]) for _ in range(r.randrange(12))) for _ in range(5000)]
+    texts += ["don't we'll", "<|endoftext|> x", "日本 1", "", None, "'", "x'", "x's", "x'l", "x'", "s"]
+    for text, got, want in zip(texts, encoder_ids(texts), library_ids(texts), strict=True):
+        assert got == want, text
 
 
-def test_encoder_finds_added_tokens():
-    from tokenizers import Tokenizer
+def test_encoder_knows_all_characters():
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    texts = ["\n".join(f"x{chr(c)}1 {chr(c)}{chr(c)}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for i in range(0, len(texts), 4000):
+        assert encoder_ids(texts[i : i + 4000]) == library_ids(texts[i : i + 4000])
+
+
+@given(st.lists(st.lists(st.integers(0, 100_000), min_size=1, max_size=9), max_size=6), st.booleans())
+def test_planes(rows, small):
+    rows = [[x % 50_000 for x in r] for r in rows] if small else rows
+    n = np.array([len(r) for r in rows], np.int64)
+    flat = np.array([x for r in rows for x in r], np.int32)
+    if rows:
+        assert token_files.unplanes(token_files.planes(flat, n), n).tolist() == flat.tolist()
+
 
-    path = token_files.tokenizer_path()
-    library = Tokenizer.from_file(path)
-    texts = ["a <|endoftext|> x", "<|endoftext|>", "plain words", None, "it's <|endoftext|><|endoftext|>", "x<|endoftext|", "  <|endoftext|>\n\n y"]
-    ids, at = token_files.Encoder(path).encode(pa.array(texts, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert 50256 in ids
+@given(st.lists(st.lists(st.integers(1, 400).map(lambda x: x * 0x0123456789ABCDEF % 2**64 | 1), max_size=60), max_size=8))
+def test_hash_table(batches):
+    table_, known = token_files.HashTable(), {}
+    for batch in batches:
+        new = [h for h in dict.fromkeys(batch) if h not in known]
+        table_.add(np.array(new, np.uint64))
+        known |= {h: len(known) + i for i, h in enumerate(new)}
+        wanted = [*known, 3]
+        assert table_.find(np.array(wanted, np.uint64)).tolist() == [known.get(h, -1) for h in wanted]
+
+
+def test_hash_table_grows():
+    h = np.random.default_rng(0).integers(1, 2**63, 300_000).astype(np.uint64)
+    h = np.unique(h)
+    table_ = token_files.HashTable()
+    for part in np.array_split(h, 7):
+        table_.add(part)
+    assert np.array_equal(table_.find(h), np.arange(len(h)))
+
+
+def test_encoder_finds_added_tokens():
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "plain words", None, "it's <|endoftext|><|endoftext|>", "x<|endoftext|", "  <|endoftext|>\n\n y", "é <|endoftext|>"]
+    got = encoder_ids(texts)
+    assert got == library_ids(texts) and 50256 in got[0]
+    assert encoder_ids(texts[:1]) == got[:1] and encoder_ids([]) == []
 
 
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=300), st.integers(6, 12), st.integers(1, 50))
@@ -245,20 +289,28 @@ def test_pack():
 def test_token_files(spark):
     got = sorted(token_files.op3_token_files(spark, SF).collect())
     texts = sorted(documents(spark).items())
-    encoder, start = token_files.Encoder(token_files.tokenizer_path()), 0
-    for r, (i, _), ids in zip(got, texts, encoder.whole([t or "" for _, t in texts]), strict=True):
-        ids = np.append(ids, 2).astype("<u4")
+    start = 0
+    for r, (i, _), ids in zip(got, texts, library_ids([t for _, t in texts]), strict=True):
+        ids = np.array([*ids, 2], "<u4")
         assert tuple(r) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 
 def test_token_files_awkward(spark, docs):
-    files = token_files.write_files(docs, file_tokens=1000)
-    rows = token_files.read_files(files).collect()
-    assert files.count() > 1 and len(rows) == 12
-    assert sorted(r.n_tokens for r in rows)[:2] == [1, 1]
-    ends = sorted((r.start, r.start + r.n_tokens) for r in rows)
-    assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    docs = docs.union(docs.sparkSession.createDataFrame([(11, "it's <|endoftext|>", "a", 1, "k"), (None, "other", "a", 1, "k")], docs.schema))
+    for size in (1000, 30_000_000):
+        files = token_files.write_files(docs, file_tokens=size)
+        rows = sorted(token_files.read_files(files).collect(), key=lambda r: r.start)
+        assert size > 1000 or files.count() > 1
+        order, start = [], 0
+        for r in rows:
+            assert r.start == start
+            start += r.n_tokens
+            order.append(-1 if r.doc_id is None else r.doc_id)
+        assert order == sorted(order)
+        texts = [(r.doc_id, r.text) for r in docs.collect()]
+        want = [(i, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for (i, _), ids in zip(texts, library_ids([t for _, t in texts]), strict=True)]
+        assert sorted(map(repr, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows))) == sorted(map(repr, want))
     assert token_files.read_files(token_files.write_files(docs.limit(0))).count() == 0
 
 
@@ -331,8 +383,32 @@ def test_decontaminate(spark, docs):
         got = decontaminate.find(docs, items, round_words=most).withColumn("n_hit", decontaminate.n_hit()).collect()
         want = [(r.doc_id, *brute_hits(r.text, windows)) for r in docs.collect()]
         assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got))) == sorted(map(repr, want))
-    assert decontaminate.keep_clean(docs, items).columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in decontaminate.keep_clean(docs, items).collect()) == [4, 5, 6, 7, 8, 9]
+    clashing = docs.selectExpr("*", "1 as doc", "2 as found", "3 as new", "4 as spans", "5 as n_words")
+    for most in (2_000_000, 5):
+        clean = decontaminate.keep_clean(clashing, items, round_words=most)
+        assert clean.columns == clashing.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [4, 5, 6, 7, 8, 9]
+        cut = decontaminate.remove(clashing, items, round_words=most)
+        assert cut.columns == clashing.columns and sorted(map(repr, cut.where("doc_id in (4, 5, 6, 7, 8, 9)").collect())) == sorted(map(repr, clashing.where("doc_id in (4, 5, 6, 7, 8, 9)").collect()))
+        for r in cut.where("doc_id is null or doc_id in (1, 2, 3, 10)").collect():
+            assert words(r.text) == ([] if r.doc_id == 10 else [f"word{i}" if i != 200 or r.doc_id != 2 else "other" for i in range(30, 400)])
+        assert decontaminate.remove(docs.limit(0), items, round_words=most).count() == decontaminate.keep_clean(docs.limit(0), items, round_words=most).count() == 0
+    assert decontaminate.keep_clean(docs, items.limit(0)).count() == docs.count() == decontaminate.remove(docs, items.limit(0)).count()
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.lists(st.integers(0, 3), max_size=9)), max_size=8), st.integers(1, 4))
+@settings(max_examples=200, deadline=None)
+def test_phrases(items, window):
+    items = [(i, " ".join(f"w{x}" for x in t)) for i, t in items]
+    want = defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            want[tuple(w[k : k + n])].add(str(i))
+    got = decontaminate.compile_phrases(items, window)
+    named = {int(h): t for t in {x for _, t in items for x in t.split()} for h in Words(pa.array([t])).hashes}
+    found = {tuple(named[int(got.words[x - 1])] for x in p): set(o) for table_, owners in zip(got.phrases, got.items, strict=True) for p, o in zip(table_.tolist(), owners, strict=True)}
+    assert found == want
 
 
 # ---------------------------------------------------------------- 6
@@ -403,6 +479,16 @@ def test_toxicity_held_out(spark, docs):
     assert toxicity.score(docs, none).count() == 12 and toxicity.keep_clean(docs, none).columns == docs.columns
 
 
+def test_smallest(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.llm._common import smallest
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    want = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(500)
+    assert smallest(rows, 500, "doc_id").collect() == want.collect() and smallest(rows, 30_000, "doc_id").count() == 20_000 and smallest(rows.limit(0), 5, "doc_id").count() == 0
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -477,6 +563,8 @@ def test_quality_held_out(spark, docs):
     assert np.mean([r.keep == (grade[r.doc_id] > 0) for r in rows]) > 0.97
     assert all(1 >= r.p_over_0 >= r.p_over_1 >= 0 for r in rows)
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, grade int"))
+    labels = spark.createDataFrame([(1, None, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
+    assert [r.grade for r in quality.grades(labels).orderBy("doc_id").collect()] == [None, 0, 1, 2, 2]
     assert quality.score(docs, none).count() == 12 and quality.select(docs, none).columns == docs.columns
 
 
@@ -495,8 +583,7 @@ def test_pipeline(spark):
     windows = windows_of([tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()])
     want = []
     for r in single.collect():
-        n, hit, _ = brute_hits(texts[r.doc_id], windows)
-        if not (hit and 20 * hit >= n):
+        if not brute_hits(texts[r.doc_id], windows)[1]:
             want.append(r.doc_id)
     assert sorted(r.doc_id for r in free.collect()) == sorted(want)
     copies = {r.doc_id: r.copies for r in mixing.allocate(free).collect()}
