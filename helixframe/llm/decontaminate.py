@@ -8,17 +8,19 @@ All phrases are searched backwards at once, occurrences are located by walking t
 
 Words are compared by 64-bit hashes: two different words that count as one would need a collision among those of the vocabulary.
 
-Phrases are compiled on the driver and sent to all workers. That is bounded: items are taken in rounds of up to ROUND_WORDS words, and with more
-than one round the documents are scanned once for each and the spans joined per document.
+Phrases are compiled on the driver and sent to all workers. That is bounded: items are taken in rounds of up to ROUND_WORDS words. With more
+than one round the documents are written after each with the spans found so far, so that only one round's phrases are held at a time. Nothing is shuffled.
+
+``find`` reports, ``keep_clean`` drops every document with an occurrence, ``remove`` cuts the merged spans out of the texts and keeps all documents.
 
 Defined results: null texts have no words; documents or items without words match nothing; equal phrases of several items count for each of
-them; a repeated item id counts once in n_items. Documents are handled one by one, so repeated rows, equal ids and null ids give rows of their
-own when there is one round; in more rounds, rows equal in id and text get the same result each. Extra columns are ignored, or kept by ``keep_clean``.
+them; a repeated item id counts once in n_items. Rows are handled one by one, so repeated rows, equal ids and null ids give rows of their
+own. Extra columns are ignored by ``find`` and kept by ``keep_clean`` and ``remove``, whatever their names. ``remove`` puts one space where it cuts, and leaves
+a null text null.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, emit, map_arrow, reachable, row_sums, runs, stored, table
+from ._common import Words, chunks, discard, ragged, reachable, runs, stored, table
 
-WINDOW, SHARD_BYTES, SAMPLE_RATE, ROUND_WORDS = 13, 2_000_000, 16, 2_000_000
+WINDOW, SHARD_BYTES, SAMPLE_RATE, ROUND_WORDS = 13, 2_000_000, 16, 1_000_000
 
 
 @dataclass
@@ -39,17 +41,23 @@ class Phrases:
 
 
 def compile_phrases(items: list[tuple], window: int = WINDOW) -> Phrases:
-    """From (item id, text) pairs."""
+    """From (item id, text) pairs. Equal phrases are found by sorting all windows of one length together."""
     w = Words(pa.array([t for _, t in items], pa.string()))
     words = np.unique(w.hashes)
-    symbols = np.searchsorted(words, w.hashes) + 1
-    found: dict[int, dict[bytes, set]] = {}
-    for (item, _), a, b in zip(items, w.first, w.first[1:], strict=False):
-        n = min(window, b - a)
-        for i in range(a, b - n + 1) if n else ():
-            found.setdefault(int(n), {}).setdefault(symbols[i : i + n].astype(np.int32).tobytes(), set()).add(item)
-    lengths = sorted(found)
-    return Phrases(words, [np.array([np.frombuffer(k, np.int32) for k in found[n]]) for n in lengths], [[sorted(map(str, v)) for v in found[n].values()] for n in lengths])
+    symbols = (np.searchsorted(words, w.hashes) + 1).astype(np.int32)
+    names = [str(i) for i, _ in items]
+    length = np.minimum(w.counts(), window)
+    phrases, owners = [], []
+    for n in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == n)
+        many = w.counts()[own] - n + 1
+        at = ragged(w.first[own], many)
+        found, which = np.unique(np.lib.stride_tricks.sliding_window_view(symbols, n)[at], axis=0, return_inverse=True)
+        pairs = np.unique(np.stack((which.ravel(), np.repeat(own, many))), axis=1)
+        bounds = np.searchsorted(pairs[0], np.arange(len(found) + 1))
+        phrases.append(found)
+        owners.append([sorted({names[i] for i in pairs[1, a:b].tolist()}) for a, b in zip(bounds, bounds[1:], strict=False)])
+    return Phrases(words, phrases, owners)
 
 
 # ---------------------------------------------------------------- FM-index
@@ -215,13 +223,6 @@ def search(w: Words, phrases: Phrases) -> tuple[np.ndarray, list[set]]:
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def spans_of(w: Words, hit: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Merged spans (first word, word after the last) of each row."""
-    starts, ends = runs(hit, w.first)
-    at = np.searchsorted(starts, w.first)
-    return [[(int(a - f), int(b - f)) for a, b in zip(starts[x:y], ends[x:y], strict=True)] for x, y, f in zip(at, at[1:], w.first, strict=False)]
-
-
 def rounds(items: DataFrame, most: int = ROUND_WORDS, window: int = WINDOW):
     """The compiled phrases of the items, up to ``most`` words at a time."""
     words = F.coalesce(F.length("text"), F.lit(0))  # as many words as characters at most
@@ -235,41 +236,73 @@ def rounds(items: DataFrame, most: int = ROUND_WORDS, window: int = WINDOW):
     yield compile_phrases(held, window)
 
 
-def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, round_words: int = ROUND_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, spans array<struct<first, end>> (in words, merged), items array<string> (sorted) of each row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [_found(docs, spark.sparkContext.broadcast(p), shard_bytes) for p in rounds(items, round_words, window)]
-    if len(found) == 1:
-        return found[0].drop("text_key")
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(stored(more, spark, "round"))
-    merge = lambda s: F.aggregate(F.array_sort(F.flatten(s)), F.array().cast("array<struct<first:long,end:long>>"), _extend)
-    grouped = every.groupBy("doc_id", "text_key", "n_words").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"), F.count("*").alias("c"))  # as many elements as rounds and repeated rows
-    rows = F.sequence(F.lit(1).cast("long"), F.floor(F.col("c") / len(found)))
-    return grouped.select("doc_id", "n_words", merge("s").alias("spans"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), F.explode(rows).alias("row")).drop("row")
-
-
-def _extend(spans, x):
-    """Spans in order of start, one more: joined to the last if it touches it."""
-    last = F.element_at(spans, -1)
-    joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))).cast("array<struct<first:long,end:long>>"))
-    return F.when((F.size(spans) > 0) & (x["first"] <= F.get(spans, F.size(spans) - 1)["end"]), joined).otherwise(F.concat(spans, F.array(x)))
-
-
-def _found(docs: DataFrame, shared, shard_bytes: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-
-    def run(batches):
-        for part in chunks(batches, "text", shard_bytes):
-            w = Words(part.column("text"))
+_FOUND = "struct<n_words:long,spans:array<struct<first:long,end:long,start_byte:long,end_byte:long>>,items:array<string>>"
+
+
+def finder(spark, phrases: Phrases, shard_bytes: int):
+    """(function of a text column that gives _FOUND, the broadcast it needs)."""
+    shared = spark.sparkContext.broadcast(phrases)
+    reachable(spark)
+    span = pa.struct([(x, pa.int64()) for x in ("first", "end", "start_byte", "end_byte")])
+
+    @F.arrow_udf(_FOUND)
+    def found(column: pa.Array) -> pa.Array:
+        parts = []
+        for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])], "text", shard_bytes):
+            w = Words(part.column(0))
             hit, items = search(w, shared.value)
-            keys = [hashlib.blake2b(w.data[a:b].tobytes(), digest_size=12).digest() for a, b in zip(w.offsets, w.offsets[1:], strict=False)]
-            spans = [[{"first": a, "end": b} for a, b in row] for row in spans_of(w, hit)]
-            yield emit(schema, doc_id=part.column("doc_id"), text_key=keys, n_words=w.counts(), spans=spans, items=[sorted(x) for x in items])
+            starts, ends = runs(hit, w.first)
+            at = np.searchsorted(starts, w.first).astype(np.int32)
+            row = np.repeat(np.arange(part.num_rows), np.diff(at))
+            cut = (starts - w.first[row], ends - w.first[row], w.starts[starts] - w.offsets[row], w.ends[ends - 1] - w.offsets[row])
+            spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in cut], fields=list(span)))
+            parts.append(pa.StructArray.from_arrays([pa.array(w.counts(), pa.int64()), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["n_words", "spans", "items"]))
+        return pa.chunked_array(parts).combine_chunks() if parts else pa.array([], pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))]))
+
+    return found, shared
+
+
+def annotated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, round_words: int = ROUND_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc, found): each row as a struct, and the spans and items found in its text. Spans of several rounds are merged, items joined."""
+    spark = docs.sparkSession
+    text = F.col("doc.text").cast("string")
+    rows, last = docs.select(F.struct("*").alias("doc")), None
+    for phrases in rounds(items, round_words, window):
+        if last:  # there is another round: write what the last one found
+            before, rows = rows, stored(rows, spark, "round")
+            discard(before)
+            last.unpersist()
+        found, last = finder(spark, phrases, shard_bytes)
+        if "found" not in rows.columns:
+            rows = rows.select("doc", found(text).alias("found"))
+        else:
+            rows = _remember(rows.select("doc", "found", found(text).alias("new")).select("doc", _joined().alias("found")), rows)
+    return rows
 
-    return map_arrow(docs, run, "doc_id long, text_key binary, n_words long, spans array<struct<first:long,end:long>>, items array<string>")
+
+def _remember(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` with the folder that it is read from, so that it can be removed later."""
+    df.stored_path = source.stored_path
+    return df
+
+
+def _joined():
+    """Of the structs found and new one."""
+    kind = "array<struct<first:long,end:long,start_byte:long,end_byte:long>>"
+
+    def extend(spans, x):
+        last = F.get(spans, F.size(spans) - 1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"), last["start_byte"].alias("start_byte"), F.greatest(last["end_byte"], x["end_byte"]).alias("end_byte"))
+        merged = F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(longer).cast(kind))
+        return F.when((F.size(spans) > 0) & (x["first"] <= last["end"]), merged).otherwise(F.concat(spans, F.array(x).cast(kind)))
+
+    spans = F.aggregate(F.array_sort(F.concat("found.spans", "new.spans")), F.array().cast(kind), extend)
+    return F.struct(F.col("found.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_union("found.items", "new.items")).alias("items"))
+
+
+def find(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_words, spans array<struct<first, end, start_byte, end_byte>> (words and bytes, merged), items array<string> (sorted) of each row."""
+    return annotated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, **parameters).select("doc.doc_id", "found.*")
 
 
 def contaminated(n_hit, n_words):
@@ -281,25 +314,34 @@ def n_hit(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """The documents that aren't contaminated, all columns with them; no shuffle."""
-    spark = docs.sparkSession
-    reachable(spark)
-    first, *later = [spark.sparkContext.broadcast(p) for p in rounds(items, window=window)]
+def keep_clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
+    """The documents in which no phrase occurs, all columns with them; no shuffle."""
+    return annotated(docs, items, **parameters).where(F.size("found.spans") == 0).select("doc.*")
 
-    @F.arrow_udf("boolean")
-    def clean(column: pa.Array) -> pa.Array:
+
+def remove(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
+    """All documents, all columns with them, the merged spans cut out of the texts."""
+    reachable(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])], "text", SHARD_BYTES):
-            w = Words(part.column(0))
-            hit = search(w, first.value)[0]
-            for more in later:
-                hit = hit | search(w, more.value)[0]
-            n = row_sums(hit.astype(np.int64), w.first)
-            out.append(~contaminated(n, w.counts()))
-        return pa.array(np.concatenate(out) if out else np.zeros(0, bool), pa.bool_())
-
-    return docs.where(clean(F.col("text").cast("string")))
+        for text, own in zip(texts, spans, strict=True):
+            own = own.as_py()
+            if own:
+                data, at, kept = text.as_py().encode(), 0, []
+                for x in own:
+                    kept.append(data[at : x["start_byte"]])
+                    at = x["end_byte"]
+                out.append(b" ".join([*kept, data[at:]]).decode())
+            else:
+                out.append(text.as_py())
+        return pa.array(out, pa.string())
+
+    rows = annotated(docs, items, **parameters)
+    text = F.when(F.size("found.spans") == 0, F.col("doc.text").cast("string")).otherwise(cut(F.col("doc.text").cast("string"), F.col("found.spans")))
+    columns = [text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
