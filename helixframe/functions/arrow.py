@@ -1,4 +1,4 @@
-"""The same functions over Arrow batches with NumPy tables: faster for long sequences, where one hex digit a base costs more than the way to Python."""
+"""The same functions over Arrow batches with NumPy tables, for pipelines that are in Python anyway; bench.py compares them with the built-in forms."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from pyspark.sql.types import BinaryType, StringType
 
 from .alphabet import CHARACTERS, CODES, COMPLEMENT_CHARACTERS, complement
 from .sequence import column
+from .two_bit import _DIGITS, ORDER
 
 _CODES = np.frombuffer(CODES, np.uint8)
 _TEXT = np.frombuffer(CHARACTERS.encode(), np.uint8)
 _COMPLEMENT_TEXT = np.frombuffer(COMPLEMENT_CHARACTERS.encode(), np.uint8)[_CODES]
+_TWO_BITS, _TWO_BIT_TEXT = np.array([int(x) for x in _DIGITS], np.uint8), np.frombuffer(ORDER.encode(), np.uint8)
 _COMPLEMENT = np.array([complement(x) for x in range(16)], np.uint8)
 
 
@@ -74,6 +76,27 @@ def _decode(a: pa.Array, n: pa.Array) -> pa.Array:
     return _array(pa.string(), _TEXT[_unpack(data)][at], out, null)
 
 
+@F.arrow_udf(BinaryType())
+def _encode2(a: pa.Array) -> pa.Array:
+    data, offsets, null = _values(a)
+    n = np.diff(offsets)
+    out = np.concatenate(([0], np.cumsum((n + 3) // 4)))
+    codes = np.zeros(4 * int(out[-1]), np.uint8)
+    codes[np.arange(len(data)) + np.repeat(4 * out[:-1] - offsets[:-1], n)] = _TWO_BITS[data]
+    return _array(pa.binary(), codes[0::4] << 6 | codes[1::4] << 4 | codes[2::4] << 2 | codes[3::4], out, null)
+
+
+@F.arrow_udf(StringType())
+def _decode2(a: pa.Array, n: pa.Array) -> pa.Array:
+    data, offsets, null = _values(a)
+    if n.null_count:
+        null = n.is_null().to_numpy(zero_copy_only=False) | (null if null is not None else False)
+    n = np.clip(n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0, np.diff(offsets) * 4)
+    out = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(out[-1]) + np.repeat(4 * offsets[:-1] - out[:-1], n)
+    return _array(pa.string(), _TWO_BIT_TEXT[data[at >> 2] >> (6 - 2 * (at & 3)).astype(np.uint8) & 3], out, null)
+
+
 def _backwards(offsets: np.ndarray) -> np.ndarray:
     """Places of all rows' items, each row from its end."""
     n = np.diff(offsets)
@@ -109,6 +132,14 @@ def decode4_arrow(packed: Column | str, n_bases: Column | str) -> Column:
     return _decode(column(packed), column(n_bases).cast("int"))
 
 
+def encode2_arrow(seq: Column | str) -> Column:
+    return _encode2(column(seq).cast("binary"))
+
+
+def decode2_arrow(packed: Column | str, n_bases: Column | str) -> Column:
+    return _decode2(column(packed), column(n_bases).cast("int"))
+
+
 def reverse_complement_arrow(seq: Column | str) -> Column:
     return _reverse_complement(column(seq).cast("binary"))
 

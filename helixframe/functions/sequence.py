@@ -56,26 +56,25 @@ def reverse_complement(seq: Column | str) -> Column:
     return F.reverse(F.translate(latin1(seq), BYTES, BYTES_TO_COMPLEMENT))
 
 
-def _turned(packed: Column, n: Column) -> Column:
-    digits = F.reverse(F.translate(F.hex(packed), HEX, COMPLEMENT_HEX))
-    return F.unhex(F.when(n % 2 == 1, F.concat(F.substring(digits, F.lit(2), F.length(digits)), F.lit("0"))).otherwise(digits))
-
-
-def _fits(packed: Column, n: Column) -> Column:
-    return n.isin(F.octet_length(packed) * 2, F.octet_length(packed) * 2 - 1)
+def _turned(packed: Column, n: Column, size) -> Column:
+    """``size`` makes of the number of hex digits the number to give, or null. The digits are named in unconditional places only, so that generated code makes them once."""
+    digits = F.hex(packed)
+    turned = F.reverse(F.translate(digits, HEX, COMPLEMENT_HEX))
+    return F.unhex(F.rpad(F.substring(turned, n % 2 + 1, F.length(digits)), size(F.length(digits)), F.lit("0")))
 
 
 def reverse_complement_packed(packed: Column | str, n_bases: Column | str) -> Column:
     """Packed reverse complement; raises where n_bases doesn't fit the number of bytes."""
-    packed, n = column(packed), column(n_bases)
-    message = F.format_string("%s bases don't fit into %s bytes", n.cast("string"), F.octet_length(packed).cast("string"))
-    return F.when(packed.isNull() | n.isNull(), F.lit(None)).when(_fits(packed, n), _turned(packed, n)).otherwise(F.raise_error(message).cast("binary"))
+    packed, n = column(packed), column(n_bases).cast("int")
+    message = lambda size: F.format_string("%s bases don't fit into %s bytes", n.cast("string"), (size / 2).cast("int").cast("string"))
+    fitting = lambda size: F.when(size.isNull() | n.isNull(), F.lit(None)).when(n.isin(size, size - 1), size).otherwise(F.raise_error(message(size)).cast("int"))
+    return _turned(packed, n, fitting)
 
 
 def try_reverse_complement_packed(packed: Column | str, n_bases: Column | str) -> Column:
     """Like ``reverse_complement_packed``, but null where n_bases doesn't fit."""
-    packed, n = column(packed), column(n_bases)
-    return F.when(_fits(packed, n), _turned(packed, n))
+    packed, n = column(packed), column(n_bases).cast("int")
+    return _turned(packed, n, lambda size: F.when(n.isin(size, size - 1), size))
 
 
 def complement_packed(packed: Column | str) -> Column:
@@ -122,7 +121,11 @@ def cyclic_sequence(n: Column | str, pattern: str = "ACGT") -> Column:
     return F.substring(F.repeat(F.lit(pattern), (n / len(pattern)).cast("int") + 1), F.lit(1), n)
 
 
-def seeded_sequence(seed: Column | str, n: Column | str, alphabet: str = "ACGTRYSWKMBDHVN-") -> Column:
+#: The default alphabet of seeded sequences.
+SEEDED = "ACGTRYSWKMBDHVN-"
+
+
+def seeded_sequence(seed: Column | str, n: Column | str, alphabet: str = SEEDED) -> Column:
     """n characters: the i-th is the alphabet's at seed[i mod length] mod its size; an empty seed counts i itself."""
     digits, n = F.hex(column(seed)), column(n).cast("int")
     bytes_ = F.greatest(F.length(digits) / 2, F.lit(1)).cast("int")
@@ -131,10 +134,13 @@ def seeded_sequence(seed: Column | str, n: Column | str, alphabet: str = "ACGTRY
     return F.when(n <= 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), base), ""))
 
 
+#: The letters of valid sequences.
+LETTERS = "ACGTURYSWKMBDHVN"
+
+
 def valid_iupac_sequence(data: Column | str) -> Column:
     """A valid sequence from any bytes: the low half of each picks a letter or U, its highest bit the case."""
     digits = F.hex(column(data))
-    letters = "ACGTURYSWKMBDHVN"  # fixed values
     high, low = (lambda i, k=k: F.instr(F.lit(HEX), F.substring(digits, i * 2 + k, F.lit(1))) - 1 for k in (1, 2))
-    base = lambda i: F.when(high(i) >= 8, F.lower(F.substring(F.lit(letters), low(i) + 1, F.lit(1)))).otherwise(F.substring(F.lit(letters), low(i) + 1, F.lit(1)))
+    base = lambda i: F.when(high(i) >= 8, F.lower(F.substring(F.lit(LETTERS), low(i) + 1, F.lit(1)))).otherwise(F.substring(F.lit(LETTERS), low(i) + 1, F.lit(1)))
     return F.when(F.length(digits) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((F.length(digits) / 2).cast("int"), F.lit(1)) - 1), base), ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .alphabet import BYTES_TO_BASE, BYTES_TO_COMPLEMENT, BYTES_TO_HEX, CHARACTERS, COMPLEMENT_HEX, HEX
+from .sequence import LETTERS, SEEDED
+from .two_bit import _DIGITS, ORDER
 
 _BYTES = "decode(unhex('" + bytes(range(256)).hex() + "'), 'ISO-8859-1')"
 _LATIN1 = "decode(s, 'ISO-8859-1')"
@@ -22,7 +24,27 @@ _TURNED = f"reverse(translate(hex(p), '{HEX}', '{COMPLEMENT_HEX}'))"
 _TURN = f"unhex(if(n % 2 = 1, concat(substring({_TURNED}, 2), '0'), {_TURNED}))"
 _FITS = "n in (2 * octet_length(p), 2 * octet_length(p) - 1)"
 
+_FOUR = f"translate(decode(s, 'ISO-8859-1'), {_BYTES}, '{_DIGITS}')"
+
+
+def _rebased(digits: str, step: int, source: int, target: int, width: int) -> str:
+    number = f"lpad(conv(rpad(substring(d, i * {step} + 1, {step}), {step}, '0'), {source}, {target}), {width}, '0')"
+    return f"element_at(transform(array({digits}), d -> array_join(transform(sequence(0, cast(ceil(greatest(length(d), 1) / {step}) as int) - 1), i -> {number}), '')), 1)"
+
+
+_SEED_BYTE = "if(length(hex(s)) = 0, i % 256, cast(conv(substring(hex(s), (i % cast(greatest(length(hex(s)) / 2, 1) as int)) * 2 + 1, 2), 16, 10) as int))"
+_LETTER = f"substring('{LETTERS}', cast(conv(substring(hex(s), i * 2 + 2, 1), 16, 10) as int) + 1, 1)"
+_MADE = f"array_join(transform(sequence(0, greatest(octet_length(s), 1) - 1), i -> if(substring(hex(s), i * 2 + 1, 1) >= '8', lower({_LETTER}), {_LETTER})), '')"
+
 FUNCTIONS = {
+    "dna_encode_pairs": ("s BINARY", "BINARY", f"unhex(substring({_digits('s')}, 1, cast(octet_length(s) / 2 as int) * 2))"),
+    "dna_encode2": ("s BINARY", "BINARY", f"unhex(substring({_rebased(_FOUR, 32, 4, 16, 16)}, 1, 2 * cast(ceil(octet_length(s) / 4) as int)))"),
+    "dna_decode2": ("p BINARY, n INT", "STRING", f"translate(substring({_rebased('hex(p)', 16, 16, 4, 32)}, 1, if(n is null, null, greatest(least(n, 4 * octet_length(p)), 0))), '0123', '{ORDER}')"),
+    "dna_base_to_bits": ("s BINARY", "INT", f"cast(substring({_FOUR}, 1, 1) as int)"),
+    "dna_bits_to_base": ("b INT", "STRING", f"substring('{ORDER}', (b & 3) + 1, 1)"),
+    "dna_cyclic": ("n INT", "STRING", "substring(repeat('ACGT', cast(n / 4 as int) + 1), 1, n)"),
+    "dna_seeded": ("s BINARY, n INT", "STRING", f"if(n <= 0, '', array_join(transform(sequence(0, greatest(n, 1) - 1), i -> substring('{SEEDED}', ({_SEED_BYTE}) % {len(SEEDED)} + 1, 1)), ''))"),
+    "dna_valid_iupac": ("s BINARY", "STRING", f"if(octet_length(s) = 0, '', {_MADE})"),
     "dna_encode": ("s BINARY", "BINARY", _even(_digits("s"))),
     "dna_decode": ("p BINARY, n INT", "STRING", f"substring(translate(hex(p), '{HEX}', '{CHARACTERS}'), 1, greatest(n, 0))"),
     "dna_normalize": ("s BINARY", "STRING", f"translate({_LATIN1}, {_BYTES}, '{BYTES_TO_BASE}')"),

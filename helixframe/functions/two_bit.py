@@ -5,36 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .alphabet import BYTES, HEX
+from .alphabet import BYTES
 from .sequence import column, latin1
 
 ORDER = "ACGT"
 _DIGITS = "".join(str(max(0, ORDER.find(c.upper()))) if c.isascii() else "0" for c in BYTES)
-#: The two bases of each hex digit, one after the other.
-_PAIRS = "".join(a + b for a in ORDER for b in ORDER)
 
 
 def encode2(seq: Column | str) -> Column:
     """Packed two-bit codes."""
     digits = F.translate(latin1(seq), BYTES, _DIGITS)
-    padded = F.rpad(digits, (F.ceil(F.length(digits) / 4) * 4).cast("int"), F.lit("0"))
-    digit = lambda d, i, k: F.substring(d, i * 2 + k, F.lit(1)).cast("int")
-    pair = lambda d, i: F.substring(F.lit(HEX), digit(d, i, 1) * 4 + digit(d, i, 2) + 1, F.lit(1))
-    return F.unhex(_joined(padded, 2, pair))
+    n_bytes = F.ceil(F.octet_length(column(seq).cast("binary")) / 4).cast("int")
+    return F.unhex(F.substring(_rebased(digits, 32, 4, 16, 16), F.lit(1), n_bytes * 2))
 
 
-def _joined(text: Column, step: int, part) -> Column:
-    """part(text, 0), part(text, 1), ... for each ``step`` characters, joined. The outer lambda holds the text, so that it is made once, not for each part."""
-    whole = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((F.length(d) / step).cast("int"), F.lit(1)) - 1), lambda i: part(d, i)), "")
-    return F.element_at(F.transform(F.array(text), lambda d: F.when(F.length(d) == 0, F.lit("")).otherwise(whole(d))), 1)
+def _rebased(digits: Column, step: int, source: int, target: int, width: int) -> Column:
+    """Digits of base ``source`` in base ``target``: each ``step`` of them, one 64-bit number, as ``width``; the last ones as if zeros followed.
+
+    The outer lambda holds the digits, so that they are made once, not for each number."""
+    number = lambda d, i: F.lpad(F.conv(F.rpad(F.substring(d, i * step + 1, F.lit(step)), step, "0"), source, target), width, "0")
+    last = lambda d: F.ceil(F.greatest(F.length(d), F.lit(1)) / step).cast("int") - 1
+    whole = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), last(d)), lambda i: number(d, i)), "")
+    return F.element_at(F.transform(F.array(digits), whole), 1)
 
 
 def decode2(packed: Column | str, n_bases: Column | str | int) -> Column:
     """Text of the first n bases."""
-    digits = F.hex(column(packed))
     n = F.lit(n_bases) if isinstance(n_bases, int) else column(n_bases)
-    pair = lambda d, i: F.substring(F.lit(_PAIRS), (F.instr(F.lit(HEX), F.substring(d, i + 1, F.lit(1))) - 1) * 2 + 1, F.lit(2))
-    return F.substring(_joined(digits, 1, pair), F.lit(1), F.greatest(n, F.lit(0)))
+    size = F.octet_length(column(packed)) * 4
+    first = F.when(n < 0, size * 0).when(n < size, n).when(n >= size, size).cast("int")  # null for a null
+    return F.translate(F.substring(_rebased(F.hex(column(packed)), 16, 16, 4, 32), F.lit(1), first), "0123", ORDER)
 
 
 def base_to_two_bits(base: Column | str) -> Column:

@@ -6,25 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "operation string, method string, seq_length int, time_low_ns double, time_median_ns double, time_high_ns double"
-#: A result's pattern, the order of operations in the summary.
+#: A result's pattern, the order of operations in the summary, a line of the summary, the message of an unknown unit, the steps of shown rates.
 PATTERN = r"(?m)^(\w+)/(\w+)/(\d+)\s+time:\s+\[([0-9.]+)\s+(ns|µs|ms|us)\s+([0-9.]+)\s+(ns|µs|ms|us)\s+([0-9.]+)\s+(ns|µs|ms|us)\]"
 OPERATIONS = ("encode", "decode", "roundtrip", "reverse_complement")
+LINE, UNKNOWN = "    %-15s: %10.2f ns [%10.2f - %10.2f]", "Unknown time unit: "
+STEPS = ((1e9, "%.1f G"), (1e6, "%.0f M"), (1e3, "%.0f K"))
 
 
 def to_ns(value: Column, unit: Column) -> Column:
     """Nanoseconds; raises for an unknown unit."""
     u = F.lower(unit)
     factor = F.when(u == "ns", 1.0).when(u.isin("µs", "us"), 1e3).when(u == "ms", 1e6).when(u == "s", 1e9)
-    return value * F.when(u.isNotNull() & factor.isNull(), F.raise_error(F.concat(F.lit("Unknown time unit: "), unit)).cast("double")).otherwise(factor)
+    return value * F.when(u.isNotNull() & factor.isNull(), F.raise_error(F.concat(F.lit(UNKNOWN), unit)).cast("double")).otherwise(factor)
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """One row per result. A value may hold one line or a whole log; a result may run over a line's end."""
-    match = F.explode(F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))).alias("m")
-    found = lines.select(match)
-    part = lambda i: F.regexp_extract("m", PATTERN, i)
+    return split(lines.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))).alias("m")), "m")
+
+
+def split(matches: DataFrame, column: str, *others: str) -> DataFrame:
+    """The fields of texts that match PATTERN, and the ``others`` columns: the parts between slashes, blanks and brackets (the fourth is ``time:``)."""
+    parts = matches.select(*others, F.split(F.col(column), r"[/\s\[\]]+").alias("_parts"))
+    part = lambda i: F.get("_parts", F.lit(i))
     times = {name: to_ns(part(i).cast("double"), part(i + 1)) for name, i in (("time_low_ns", 4), ("time_median_ns", 6), ("time_high_ns", 8))}
-    return found.select(part(1).alias("operation"), part(2).alias("method"), part(3).cast("int").alias("seq_length"), *(c.alias(n) for n, c in times.items()))
+    return parts.select(*others, part(0).alias("operation"), part(1).alias("method"), part(2).cast("int").alias("seq_length"), *(c.alias(n) for n, c in times.items()))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -74,12 +80,14 @@ def error_bars(results: DataFrame) -> DataFrame:
 def format_throughput(value: Column | str) -> Column:
     """With an SI prefix."""
     v = F.col(value) if isinstance(value, str) else value
-    shown = lambda pattern, by: F.format_string(pattern, v / by)
-    return F.when(v >= 1e9, shown("%.1f G", 1e9)).when(v >= 1e6, shown("%.0f M", 1e6)).when(v >= 1e3, shown("%.0f K", 1e3)).otherwise(shown("%.0f", 1.0))
+    out = F.format_string("%.0f", v)
+    for by, pattern in reversed(STEPS):
+        out = F.when(v >= by, F.format_string(pattern, v / by)).otherwise(out)
+    return out
 
 
 def summary(results: DataFrame) -> DataFrame:
     """Results of the known operations in their fixed order, then by length and method, with a line of text each."""
     place = F.array_position(F.array(*map(F.lit, OPERATIONS)), F.col("operation"))
-    line = F.format_string("    %-15s: %10.2f ns [%10.2f - %10.2f]", "method", "time_median_ns", "time_low_ns", "time_high_ns")
+    line = F.format_string(LINE, "method", "time_median_ns", "time_low_ns", "time_high_ns")
     return results.withColumn("place", place).where("place > 0").withColumn("line", line).orderBy("place", "seq_length", "method")

@@ -56,8 +56,12 @@ def _hex(data):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names, a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixframe-")
+    """A fresh path in the shared folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -129,16 +133,37 @@ def arrow_functions(spark, d):
     return x.select(*_KEYS, _hex("p").alias("packed_hex"), H.decode4_arrow("p", "n").alias("decoded"), H.reverse_complement_arrow("seq").alias("rc"), _hex(H.reverse_complement_packed_arrow("p", "n")).alias("rc_hex"))
 
 
+def arrow_two_bit(spark, d):
+    x = sequences(spark, d).select(*_KEYS, H.encode2_arrow("seq").alias("p"), F.length("seq").alias("n"))
+    return x.select(*_KEYS, _hex("p").alias("packed_hex"), H.decode2_arrow("p", "n").alias("decoded"))
+
+
+def sql_two_bit(spark, d):
+    H.register(spark)
+    sequences(spark, d).createOrReplaceTempView("helixframe_sequences")
+    return spark.sql(
+        "SELECT l_orderkey, l_linenumber, lower(hex(dna_encode2(seq))) AS packed_hex, dna_decode2(dna_encode2(seq), length(seq)) AS decoded, lower(hex(dna_encode_pairs(seq))) AS pairs_hex,"
+        " dna_cyclic(cast(l_linenumber * 7 as int)) AS cyclic, dna_seeded(cast(cast(l_orderkey as string) as binary), cast(l_linenumber * 5 as int)) AS seeded,"
+        " dna_valid_iupac(unhex(md5(cast(l_orderkey as string)))) AS valid FROM helixframe_sequences"
+    )
+
+
 def fasta_roundtrip(spark, d):
-    record = F.concat(F.lit(">seq"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit(" made up\n"), F.regexp_replace("seq", "(.{20})", "$1\n"))
-    found = io.parse_fasta(sequences(spark, d).select(record.alias("value")))
-    return found.select("id", "description", F.col("seq").alias("seq"), _hex(H.encode4("seq")).alias("packed_hex"))
+    """Written as files of records, read by the file reader."""
+    name = F.concat(F.lit(">seq"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    record = F.concat(name, F.lit(" made up\n"), F.regexp_replace("seq", "(.{20})", "$1\n"))
+    path = _folder(spark, "fasta")
+    sequences(spark, d).select(record.alias("value")).write.text(path)
+    return io.read_fasta(spark, path).select("id", "description", F.col("seq").alias("seq"), _hex(H.encode4("seq")).alias("packed_hex"))
 
 
 def fastq_records(spark, d):
+    """Written as files of four-line records, some of whose qualities begin like a header, and read by the file reader."""
     name = F.concat(F.lit("@r"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
-    record = F.concat(name, F.lit(" x\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
-    return io.parse_fastq(sequences(spark, d).select(record.alias("value"))).select("id", "description", "seq", F.length("quality").cast("long").alias("n_quality"))
+    quality = F.concat(F.when(F.col("l_orderkey") % 5 == 0, F.lit("@")).otherwise(F.lit("I")), F.repeat(F.lit("I"), F.length("seq") - 1))
+    path = _folder(spark, "fastq")
+    sequences(spark, d).select(F.concat(name, F.lit(" x\n"), F.col("seq"), F.lit("\n+\n"), quality).alias("value")).write.text(path)
+    return io.read_fastq(spark, path).select("id", "description", "seq", F.length("quality").cast("long").alias("n_quality"), F.substring("quality", 1, 1).alias("first_quality"))
 
 
 def packed_parquet(spark, d):
@@ -155,9 +180,11 @@ def stream_encode(spark, d):
 
 
 def iupac_counts(spark, d):
-    """How often each code occurs, by a join with the code table on packed digits."""
-    digits = sequences(spark, d).select(F.explode(F.split(F.substring(F.hex(H.encode4("seq")), F.lit(1), F.length("seq")), "")).alias("digit")).where("digit != ''")
-    counted = digits.groupBy((F.conv("digit", 16, 10)).cast("int").alias("code")).agg(F.count("*").alias("n"))
+    """How often each code occurs: what each digit's removal takes off the packed digits, in one aggregate."""
+    digits = F.substring(F.hex(H.encode4("seq")), F.lit(1), F.length("seq"))
+    of = lambda x: F.length("digits") - F.length(F.replace(F.col("digits"), F.lit(x), F.lit("")))
+    row = sequences(spark, d).select(digits.alias("digits")).agg(*(F.sum(of(x)).alias(x) for x in HEX))
+    counted = row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("code"), F.coalesce(F.col(x), F.lit(0)).alias("n")) for k, x in enumerate(HEX)))).alias("c")).select("c.*").where("n > 0")
     return counted.join(F.broadcast(iupac(spark).select("code", "base", "meaning")), "code")
 
 
@@ -167,9 +194,8 @@ def log_summary(spark, d):
 
 def log_latest(spark, d):
     found = log_lines(spark, d).withColumn("at", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey"))
-    parsed = found.select("at", F.explode(F.regexp_extract_all("value", F.lit(benchmark_log.PATTERN), F.lit(0))).alias("value"))
-    r = lambda i: F.regexp_extract("value", benchmark_log.PATTERN, i)
-    parsed = parsed.select("at", r(1).alias("operation"), r(2).alias("method"), r(3).cast("int").alias("seq_length"), benchmark_log.to_ns(r(6).cast("double"), r(7)).alias("time_median_ns"))
+    matches = found.select("at", F.explode(F.regexp_extract_all("value", F.lit(benchmark_log.PATTERN), F.lit(0))).alias("m"))
+    parsed = benchmark_log.split(matches, "m", "at").select("at", "operation", "method", "seq_length", "time_median_ns")
     return benchmark_log.latest(parsed, "at")
 
 
@@ -204,6 +230,8 @@ QUERIES = {
     "roundtrip_laws": roundtrip_laws,
     "sql_functions": sql_functions,
     "arrow_functions": arrow_functions,
+    "arrow_two_bit": arrow_two_bit,
+    "sql_two_bit": sql_two_bit,
     "fasta_roundtrip": fasta_roundtrip,
     "fastq_records": fastq_records,
     "packed_parquet": packed_parquet,
@@ -257,6 +285,13 @@ def _from_sequences(columns: str) -> str:
 _PAIR_DIGITS = "translate(regexp_replace(seq, '[^CGT]', '0', 'g'), 'CGT', '123')"
 _PADDED = f"({_PAIR_DIGITS} || repeat('0', (4 - length(seq) % 4) % 4))"
 _ENCODE2 = f"array_to_string(list_transform(range(1, length({_PADDED}), 2), lambda i: substr('0123456789abcdef', 4 * cast(substr({_PADDED}, i, 1) as int) + cast(substr({_PADDED}, i + 1, 1) as int) + 1, 1)), '')"
+_DECODE2 = "translate(regexp_replace(seq, '[^CGT]', 'A', 'g'), '', '')"
+_VALID = (
+    "array_to_string(list_transform(range(0, 16), lambda i: CASE WHEN substr(md5(cast(l_orderkey as varchar)), cast(i * 2 + 1 as int), 1) >= '8'"
+    " THEN substr('acgturyswkmbdhvn', cast(instr('0123456789abcdef', substr(md5(cast(l_orderkey as varchar)), cast(i * 2 + 2 as int), 1)) as int), 1)"
+    " ELSE substr('ACGTURYSWKMBDHVN', cast(instr('0123456789abcdef', substr(md5(cast(l_orderkey as varchar)), cast(i * 2 + 2 as int), 1)) as int), 1) END), '')"
+)
+_SEEDED = "array_to_string(list_transform(range(0, l_linenumber * 5), lambda i: substr('ACGTRYSWKMBDHVN-', cast(ord(substr(cast(l_orderkey as varchar), cast(i % length(cast(l_orderkey as varchar)) + 1 as int), 1)) % 16 + 1 as int), 1)), '')"
 _UNIT = "CASE l_orderkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 1000000 ELSE 1000 END"
 _RESULTS = (
     "(SELECT CASE l_partkey % 4 WHEN 0 THEN 'encode' WHEN 1 THEN 'decode' WHEN 2 THEN 'roundtrip' ELSE 'reverse_complement' END AS operation, 'method_' || l_linenumber AS method,"
@@ -292,20 +327,20 @@ ORACLE_SQL = {
     " cast(greatest(instr('ACGT', upper(c)) - 1, 0) as int) AS two_bits, substr('ACGT', greatest(cast(instr('ACGT', upper(c)) as int), 1), 1) AS two_bit_base"
     f" FROM (SELECT byte, c, CASE WHEN upper(c) = 'U' THEN 'T' WHEN c != '' AND instr('{CHARACTERS}', upper(c)) > 0 THEN upper(c) ELSE '-' END AS norm FROM {_BYTE})",
     "encode2": _from_sequences(f"{_ENCODE2} AS packed_hex"),
-    "decode2": _from_sequences("translate(regexp_replace(seq, '[^CGT]', 'A', 'g'), '', '') AS decoded"),
+    "decode2": _from_sequences(f"{_DECODE2} AS decoded"),
     "roundtrip_report": _from_sequences("length(seq) AS n, (length(seq) + 1) // 2 AS packed_bytes, true AS verified, round(length(seq) / ((length(seq) + 1) // 2), 2) AS ratio"),
     "demo_report": f"SELECT id, seq, packed_hex, {_BITS} AS packed_bits, seq AS decoded, true AS verified, 2.0::double AS ratio, translate(packed_hex, '{HEX.lower()}', '{COMPLEMENT_HEX.lower()}') AS complement_hex,"
     f" {_rc('seq')} AS revcomp, {_packed(_rc('seq'))} AS revcomp_packed_hex, {_rc('seq')} AS revcomp_from_packed FROM (SELECT id, seq, {_packed('seq')} AS packed_hex FROM (VALUES {_DEMO_ROWS}) t(id, seq))",
     "cyclic_sequences": "SELECT l_orderkey, l_linenumber, substr(repeat('ACGT', 20), 1, cast(l_linenumber * 7 as int)) AS made FROM lineitem",
-    "seeded_sequences": "SELECT l_orderkey, l_linenumber, array_to_string(list_transform(range(0, l_linenumber * 5), lambda i: substr('ACGTRYSWKMBDHVN-', cast(ord(substr(cast(l_orderkey as varchar), cast(i % length(cast(l_orderkey as varchar)) + 1 as int), 1)) % 16 + 1 as int), 1)), '') AS made FROM lineitem",
-    "valid_iupac_sequences": "SELECT l_orderkey, l_linenumber, array_to_string(list_transform(range(0, 16), lambda i: CASE WHEN substr(md5(cast(l_orderkey as varchar)), cast(i * 2 + 1 as int), 1) >= '8'"
-    " THEN substr('acgturyswkmbdhvn', cast(instr('0123456789abcdef', substr(md5(cast(l_orderkey as varchar)), cast(i * 2 + 2 as int), 1)) as int), 1)"
-    " ELSE substr('ACGTURYSWKMBDHVN', cast(instr('0123456789abcdef', substr(md5(cast(l_orderkey as varchar)), cast(i * 2 + 2 as int), 1)) as int), 1) END), '') AS made FROM lineitem",
+    "seeded_sequences": f"SELECT l_orderkey, l_linenumber, {_SEEDED} AS made FROM lineitem",
+    "valid_iupac_sequences": f"SELECT l_orderkey, l_linenumber, {_VALID} AS made FROM lineitem",
+    "arrow_two_bit": _from_sequences(f"{_ENCODE2} AS packed_hex, {_DECODE2} AS decoded"),
+    "sql_two_bit": _from_sequences(f"{_ENCODE2} AS packed_hex, {_DECODE2} AS decoded, substr({_hexed('seq')}, 1, length(seq) // 2 * 2) AS pairs_hex, substr(repeat('ACGT', 20), 1, cast(l_linenumber * 7 as int)) AS cyclic, {_SEEDED} AS seeded, {_VALID} AS valid"),
     "roundtrip_laws": "SELECT count(*) AS n_rows, 0::bigint AS broken_decoded, 0::bigint AS broken_size, 0::bigint AS broken_twice, 0::bigint AS broken_packed, 0::bigint AS broken_length FROM documents",
     "sql_functions": _from_sequences(f"{_packed('seq')} AS packed_hex, seq AS decoded, {_rc('seq')} AS rc, {_packed(_rc('seq'))} AS rc_hex"),
     "arrow_functions": _from_sequences(f"{_packed('seq')} AS packed_hex, seq AS decoded, {_rc('seq')} AS rc, {_packed(_rc('seq'))} AS rc_hex"),
     "fasta_roundtrip": f"SELECT 'seq' || l_orderkey || '.' || l_linenumber AS id, 'made up' AS description, seq, {_packed('seq')} AS packed_hex FROM {_SEQ}",
-    "fastq_records": f"SELECT 'r' || l_orderkey || '.' || l_linenumber AS id, 'x' AS description, seq, length(seq) AS n_quality FROM {_SEQ}",
+    "fastq_records": f"SELECT 'r' || l_orderkey || '.' || l_linenumber AS id, 'x' AS description, seq, length(seq) AS n_quality, CASE WHEN l_orderkey % 5 = 0 THEN '@' ELSE 'I' END AS first_quality FROM {_SEQ}",
     "packed_parquet": _from_sequences("length(seq) AS n, seq AS decoded") + " WHERE length(seq) >= 36",
     "stream_encode": f"SELECT event_id, length(seq) AS n, {_packed('seq')} AS packed_hex, {_rc('seq')} AS revcomp FROM {_EVENTS}",
     "iupac_counts": f"SELECT code, n, base, ['gap', 'adenine', 'cytosine', 'amino', 'thymine', 'weak', 'pyrimidine', 'not G', 'guanine', 'purine', 'strong', 'not T', 'keto', 'not C', 'not A', 'any'][code + 1] AS meaning"

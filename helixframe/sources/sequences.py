@@ -32,10 +32,27 @@ def parse_fastq(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, description, seq, quality of four-line records. A quality line may itself begin with ``@``, so each file is read whole, a row a file."""
-    files = spark.read.text(path, wholetext=True)
-    record = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*$"), F.lit(0))).alias("value")
-    return parse_fastq(files.select(record))
+    """id, description, seq, quality of four-line records. Files are split at ``@`` that begins a line, and so read in parallel.
+
+    Such an ``@`` begins a record, or a quality line, whose record is then in two pieces: three lines, and a line without its ``@``. These
+    are joined by their places: in one split they are neighbours, and the first piece of a split goes with the last one of the split before it in the file.
+    """
+    meta = F.col("_metadata")
+    pieces = spark.read.option("lineSep", "\n@").text(path).select(
+        F.rtrim("value").alias("value"), F.monotonically_increasing_id().alias("at"), meta["file_path"].alias("file"), meta["file_block_start"].alias("start"),
+        (meta["file_block_start"] + meta["file_block_length"]).alias("end"),
+    ).withColumn("lines", F.size(F.split(F.regexp_replace("value", r"[\r\n]+\z", ""), "\n")))
+    whole = pieces.where("lines >= 4").select("value")
+    heads, tails = (pieces.where(f"lines {x}") for x in ("= 3", "= 1"))
+    # A head's tail is the next piece; of a split's last head it may be the first piece of the next split, whatever task has read that.
+    last = pieces.groupBy("file", "start").agg(F.max("at").alias("at")).withColumn("last", F.lit(True))
+    first = pieces.groupBy("file", "start").agg(F.min("at").alias("at")).withColumn("first", F.lit(True))
+    heads = heads.join(last, ["file", "start", "at"], "left").select(F.col("value").alias("head"), "file", F.when(F.col("last"), F.col("end")).alias("place"), F.when(F.col("last").isNull(), F.col("at") + 1).alias("next"))
+    tails = tails.join(first, ["file", "start", "at"], "left").select(F.col("value").alias("tail"), "file", "at", F.when(F.col("first"), F.col("start")).alias("start"))
+    value = F.concat("head", F.lit("\n@"), "tail").alias("value")
+    inner = heads.where("next is not null").select("head", F.col("next").alias("at")).join(tails.select("tail", "at"), "at").select(value)
+    across = heads.where("place is not null").select("head", "file", F.col("place").alias("start")).join(tails.where("start is not null").select("tail", "file", "start"), ["file", "start"]).select(value)
+    return parse_fastq(whole.union(inner).union(across))
 
 
 def pack(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -17,6 +17,22 @@ def test_fastq(spark, tmp_path):
     assert [tuple(r) for r in io.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("id").collect()] == [("r1", "x y", "ACGT", "@III"), ("r2", "", "GG", "II")]
 
 
+def test_fastq_in_splits(spark, tmp_path):
+    """Files cut into many splits, qualities that begin like headers."""
+    want = []
+    for f in range(3):
+        records = [(f"r{f}.{i}", "x", "ACGTN"[: i % 6], ("@" if i % 2 else "+") + "I" * (i % 7)) for i in range(400)]
+        (tmp_path / f"{f}.fq").write_text("".join(f"@{i} {d}\n{s}\n+\n{q}\n" for i, d, s, q in records))
+        want += records
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (200, 777, 5000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(tuple(r) for r in io.read_fastq(spark, str(tmp_path)).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_packed_parquet(spark, tmp_path):
     df = spark.createDataFrame([(1, "ACGTN"), (2, ""), (3, None), (4, "ac")], "id int, seq string")
     io.write_packed(df, str(tmp_path / "p"))

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe import functions as H
@@ -65,6 +67,50 @@ def test_arrow_equals_native(table):
         assert x.withColumn("a", arrow).withColumn("b", native).where("not (a <=> b)").count() == 0
 
 
+def two_bit(data):
+    c = ["ACGT".find(chr(b).upper()) for b in data]
+    c = [max(0, x) for x in c] + [0] * (-len(data) % 4)
+    return bytes(c[i] << 6 | c[i + 1] << 4 | c[i + 2] << 2 | c[i + 3] for i in range(0, len(c), 4))
+
+
+def test_two_bit_equals_model(spark, table):
+    H.register(spark)
+    x = table.union(table.limit(1).select("id", F.lit(None).cast("binary"))).withColumn("n", F.octet_length("seq")).withColumn("p", H.encode2("seq"))
+    x = x.select("*", H.encode2_arrow("seq").alias("pa"), H.decode2("p", "n").alias("d"), H.decode2_arrow("p", "n").alias("da"), F.expr("dna_encode2(seq)").alias("ps"), F.expr("dna_decode2(p, n)").alias("ds"), H.decode2("p", F.lit(-1)).alias("none"), H.decode2("p", 10**6).alias("all"))
+    for r in x.collect():
+        if r.seq is None:
+            assert r.p is r.pa is r.d is r.da is r.ps is r.ds is r.none is r["all"] is None
+            continue
+        s = bytes(r.seq)
+        text = "".join(chr(b).upper() if chr(b).upper() in "CGT" and b < 128 else "A" for b in s)
+        assert bytes(r.p) == bytes(r.pa) == bytes(r.ps) == two_bit(s)
+        assert r.d == r.da == r.ds == text and r.none == "" and r["all"] == text + "A" * (-len(s) % 4)
+
+
+@given(st.lists(st.binary(max_size=300), min_size=1, max_size=60), st.integers(-2, 320))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow, HealthCheck.data_too_large])
+def test_properties(spark, rows, k):
+    """Any bytes: round trip, size, prefixes, either way of reverse complement, twice applied."""
+    x = spark.createDataFrame([(bytearray(r),) for r in rows], "seq binary").withColumn("n", F.octet_length("seq")).withColumn("p", H.encode4("seq")).withColumn("norm", H.normalize("seq"))
+    x = x.withColumn("rc", H.reverse_complement("seq")).withColumn("rcp", H.reverse_complement_packed("p", "n"))
+    laws = [
+        H.decode4("p", "n") == F.col("norm"), F.octet_length("p") == F.ceil(F.col("n") / 2), H.decode4("p", F.least(F.lit(k), "n")) == F.substring("norm", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(k), "n"))),
+        H.reverse_complement("rc") == F.col("norm"), H.decode4("rcp", "n") == F.col("rc"), H.reverse_complement_packed("rcp", "n") == F.col("p"), H.encode4("rc") == F.col("rcp"), H.encode4("norm") == F.col("p"),
+        H.complement_packed(H.complement_packed("p")) == F.col("p"), H.try_reverse_complement_packed("p", F.col("n") + 2).isNull(), H.try_reverse_complement_packed("p", "n") == F.col("rcp"),
+        F.length("norm") == F.col("n"), H.encode4_pairs("seq") == F.substring("p", F.lit(1), (F.col("n") / 2).cast("int")),
+    ]
+    broken = x.select(*(F.sum(F.when(law, 0).otherwise(1)).alias(f"law{i}") for i, law in enumerate(laws))).first()
+    assert tuple(broken) == (0,) * len(laws)
+
+
+@given(st.lists(st.binary(max_size=80), min_size=1, max_size=60))
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_valid_sequences_come_back(spark, rows):
+    x = spark.createDataFrame([(bytearray(r),) for r in rows], "data binary").withColumn("seq", H.valid_iupac_sequence("data"))
+    x = x.withColumn("d", H.decode4(H.encode4("seq"), F.length("seq")))
+    assert x.where((F.length("seq") != F.octet_length("data")) | (F.col("d") != F.translate(F.upper("seq"), "U", "T"))).count() == 0
+
+
 def test_golden(spark):
     pairs = {"AC": "12", "GT": "84", "RY": "96", "SW": "A5", "KM": "C3", "BD": "ED", "HV": "7B", "N-": "F0", "ACGT": "1284", "": "", "A": "10", "ACG": "1280"}
     x = spark.createDataFrame(list(pairs.items()), "s string, h string")
