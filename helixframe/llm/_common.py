@@ -62,10 +62,11 @@ def stored(df: DataFrame, spark: SparkSession, name: str, compression: str = "zs
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Removes what ``stored`` wrote."""
-    spark, path = df.sparkSession, getattr(df, "stored_path", None)
+    path = getattr(df, "stored_path", None)
     if path:
+        spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -155,11 +156,18 @@ def reachable(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow``, whose batches Spark keeps to 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), however long the texts are."""
-    reachable(df.sparkSession)
+    """``mapInArrow`` in batches of up to 1000 rows (Spark keeps them to 64 MB too), so that long texts can't fill a worker. Plans read the limit when
+    they run, so it stays set in the session."""
+    spark = df.sparkSession
+    reachable(spark)
+    if not 0 < int(spark.conf.get(_ROWS)) <= 1000:
+        spark.conf.set(_ROWS, "1000")
     return df.mapInArrow(function, schema)
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 # ---------------------------------------------------------------- words
 
 _WORD = np.zeros(256, bool)
