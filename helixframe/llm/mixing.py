@@ -11,8 +11,11 @@ for the one document left at the end. Pairs meet in a tree: documents are dealt
 one fractional document, these are dealt into cells again, and so on. In a cell the longest go first, so that short ones even them out and the one
 left is short. A hot source just has more cells. Each level is written to the shared folder.
 
-Randomness is a hash of id, size, level and SEED, so reruns agree. Defined results: null or wordless texts have size 0 and are taken 0 times; rows
-equal in id, source and size are rounded together (all or none of them once more); null ids and sources are values like others; extra columns
+Rows equal in id, source and size are one unit: of c such rows floor(c * fraction) are taken once more for certain, and what is left is one fractional row. They
+are counted before anything is shuffled, so that a third of all rows may be equal.
+
+Randomness is a hash of id, size, level and SEED, so reruns agree. Defined results: null or wordless texts have size 0 and are taken 0 times; which of the rows
+of a unit are taken once more is a matter of the hash of all their columns; null ids and sources are values like others; extra columns
 are ignored by ``allocate`` and carried by ``mix``; an empty table gives an empty result.
 """
 
@@ -21,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import discard, stored, table
 
 WEIGHTS, BUDGET, CAP, FAN, SEED = (5, 2, 1), 1.5, 2, 48, 17
+#: Equal rows that one task writes out.
+REPEATS = 100_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -80,13 +85,13 @@ def _fold(units: Column) -> Column:
     return F.aggregate(units, zero, step)
 
 
-def rounded(units: DataFrame, largest: int) -> DataFrame:
-    """(key, up) of units (key: struct<doc_id, source, size>, a, p, n_source): whether each is taken once more.
+def rounded(units: DataFrame, largest: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, up) of units (key: struct<doc_id, source, size>, a, p, n_source): whether each is taken once more; and the stored levels that it is read from.
 
     largest: the number of units of the largest source, which sets the number of levels; n_source: of the unit's own source.
     """
     spark = units.sparkSession
-    now, done, level = units.withColumn("cells", F.ceil(F.col("n_source") / FAN)), None, 0
+    now, done, level, levels = units.withColumn("cells", F.ceil(F.col("n_source") / FAN)), None, 0, []
     while True:
         key = F.col("key")
         u = _uniform(key["doc_id"], key["size"], key["source"], F.lit(level))
@@ -94,47 +99,84 @@ def rounded(units: DataFrame, largest: int) -> DataFrame:
         cells = now.select(F.col("key.source").alias("source"), deal.alias("cell"), "cells", F.struct((-F.col("a")).alias("order"), F.xxhash64(key["doc_id"], key["size"], F.lit(level), F.lit(SEED + 2)).alias("tie"), "key", "a", "p", u.alias("u")).alias("unit"))
         cells = cells.groupBy("source", "cell", "cells").agg(F.sort_array(F.collect_list("unit")).alias("units"))
         folded = stored(cells.select("cells", _fold(F.col("units")).alias("f")), spark, f"mix{level}")
+        levels.append(folded)
         settled = folded.select(F.explode("f.done").alias("x")).select("x.key", "x.up")
         done = settled if done is None else done.union(settled)
         rest = folded.select("cells", F.explode("f.rest").alias("x")).select("x.key", "x.a", "x.p", "cells")
         if largest <= FAN:  # one cell per source: the last document of each is rounded by itself
             last = rest.select("key", (_uniform(rest["key"]["doc_id"], rest["key"]["size"], rest["key"]["source"], F.lit(-1)) < F.col("p")).alias("up"))
-            return done.union(last)
+            return done.union(last), levels
         now, level, largest = rest.withColumn("cells", F.ceil(F.col("cells") / FAN)), level + 1, -(-largest // FAN)
 
 
-def allocate(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of each row."""
+def _equal(doc_id: str, source: str, size: str):
+    """Whether a unit with these columns is that of the row."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col("size") == F.col(size))
+
+
+def units_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, rows, source_size, target, whole, more of each unit: its rows are taken ``whole`` times, ``more`` of them once more."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"))
-    rows = stored(rows, spark, "sizes")
-    # One unit for the rows equal in id, source and size.
-    units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    per = targets(rows).join(units.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_source")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    counted = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), spark, "sizes")
+    n_units = counted.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_source"))
+    per = targets(counted.select("source", (F.col("size") * F.col("rows")).alias("size"))).join(n_units, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per = stored(per, spark, "targets")
     largest = per.agg(F.max("n_source")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per_source = per.select(F.col("source").alias("s"), "source_size", "target", "n_source", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
     # Sources are few, but nothing bounds them: a plain join, whose hot keys adaptive execution splits.
-    units = units.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    key = F.struct("doc_id", "source", "size").alias("key")
-    open_units = units.where("size > 0 and p > 0").select(key, (F.col("size") * F.col("rows")).cast("double").alias("a"), "p", "n_source")
-    up = rounded(open_units, largest).select("key.*", "up").withColumnsRenamed({"doc_id": "i", "source": "s", "size": "z"})
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    units = units.join(up, same, "left").withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("up"), F.lit(False)).cast("long")).otherwise(F.lit(0)))
-    out = units.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    units = counted.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    units = units.withColumn("certain", F.floor(F.col("rows") * F.col("p") + 1e-9)).withColumn("rest", F.greatest(F.lit(0.0), F.col("rows") * F.col("p") - F.col("certain")))
+    open_units = units.where("size > 0 and rest > 0").select(F.struct("doc_id", "source", "size").alias("key"), F.col("size").cast("double").alias("a"), F.col("rest").alias("p"), "n_source")
+    up, levels = rounded(open_units, largest)
+    up = up.select("key.*", "up").withColumnsRenamed({"doc_id": "i", "source": "s", "size": "z"})
+    units = units.join(up, _equal("i", "s", "z"), "left")
+    taken = lambda x: F.when(F.col("size") > 0, x).otherwise(F.lit(0).cast("long"))
+    more = F.col("certain") + F.coalesce(F.col("up"), F.lit(False)).cast("long")
+    out = stored(units.select("doc_id", "source", "size", "rows", "source_size", "target", taken(F.col("whole")).alias("whole"), taken(more).alias("more")), spark, "units")
+    for d in (counted, per, *levels):
+        discard(d)
+    return out
+
+
+def _repeated(df: DataFrame, times, *columns) -> DataFrame:
+    """(columns, row): each row as often as ``times`` says, numbered from 1; REPEATS of one at most in one place."""
+    df = df.withColumn("_times", times).where("_times > 0")
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / REPEATS))).alias("_block"))
+    if (df.agg(F.max("_times")).first()[0] or 0) > REPEATS:
+        blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row = F.sequence(F.col("_block") * REPEATS + 1, F.least(F.col("_times"), (F.col("_block") + 1) * REPEATS))
+    return blocks.select(*columns, F.explode(row).alias("row"))
+
+
+def allocate(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of each row."""
+    out = _repeated(units_of(docs), F.col("rows"), "doc_id", "source", "size", "source_size", "target", "whole", "more")
+    out = out.withColumn("copies", F.col("whole") + (F.col("row") <= F.col("more")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents, each repeated as often as the mix takes it; all columns with them."""
-    copies = allocate(docs).where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "copies").distinct()
-    copies = stored(copies, docs.sparkSession, "mix")
+    spark = docs.sparkSession
+    units = units_of(docs)
+    wanted = units.where("whole > 0 or more > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "rows", "whole", "more")
+    wanted = stored(wanted, spark, "mix")
+    discard(units)
     held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"))
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    # Both sides grow with the data, so this join is dealt and sorted at every size.
-    taken = held.join(copies.hint("merge"), same).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return taken.select("doc.*")
+    # Both sides grow with the data, so these joins are dealt and sorted at every size.
+    single = held.join(wanted.where("rows = 1").hint("merge"), _equal("i", "s", "z")).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + F.col("more"))))
+    taken = single.select("doc.*")
+    if not wanted.where("rows > 1").isEmpty():
+        # Equal rows are counted first; of a unit's different rows the ``more`` first in hash order are taken once more.
+        several = held.join(wanted.where("rows > 1").hint("merge"), _equal("i", "s", "z")).withColumn("h", F.xxhash64(F.to_json("doc")))
+        several = several.groupBy("i", "s", "z", "whole", "more", "h").agg(F.first("doc").alias("doc"), F.count("*").alias("c"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("i", "s", "z").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        times = F.col("c") * F.col("whole") + F.greatest(F.lit(0), F.least(F.col("c"), F.col("more") - F.col("before")))
+        several = stored(several.withColumn("before", before).select("doc", times.alias("times")), spark, "several")
+        taken = taken.union(_repeated(several, F.col("times"), "doc").select("doc.*"))
+    return taken
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
