@@ -152,6 +152,6 @@ def _digest(batches):
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
-    """Counts and digests of ``find`` over all documents."""
-    found = find(table(spark, sf_dir, "documents"))
-    return map_arrow(found, _digest, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, mean_score double")
+    """Counts and digests of what ``find`` finds in all documents, in one pass."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(docs, lambda batches: _digest(_find(batches)), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, mean_score double")
