@@ -95,6 +95,17 @@ def put_file(folder: str, stem: str, suffix: str, data) -> str:
     return uri
 
 
+#: Tasks among which ``salted`` splits a key.
+SALTS = 16
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, which are unique in ``right``; keys with many rows in ``left`` are split among SALTS tasks by the hash of ``by``."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(0)), F.lit(SALTS)))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def smallest(rows: DataFrame, most: int, *columns: str) -> DataFrame:
     """The ``most`` rows with the smallest hashes of ``columns`` (which tell rows apart), the columns themselves breaking ties.
 

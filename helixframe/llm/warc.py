@@ -6,8 +6,8 @@ about FILE_BYTES.
 
 The index sorts the keys (reversed host, then the rest of the URL, with the page id as the tie-breaker) into shards by range; a shard file holds
 compressed blocks of BLOCK entries and, behind them, a sparse directory of the blocks' first keys. ``lookup`` sends each wanted key to its shard,
-binary-searches the directory, reads that block by its byte range, binary-searches the block, and reads the record's byte range in the archive. The only
-thing kept on the driver is one row per shard and archive file.
+binary-searches the directory, reads that block by its byte range, and binary-searches the block; the captures found are dealt out by archive and sorted by offset, so that
+each archive's records are read by their byte ranges from front to back. The only thing kept on the driver is one row per shard.
 
 Shard (``.hxi``), integers little-endian: blocks (zlib of lines key TAB page TAB archive TAB offset TAB length), directory (zlib of JSON: archives,
 first [key, page], offset, length of each block), then 8 bytes offset of the directory, 8 bytes its length, b"HXINDEX1".
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, emit, map_arrow, open_fs, put_file, stored, table, work_dir
+from ._common import chunks, discard, emit, map_arrow, open_fs, put_file, salted, stored, table, work_dir
 
 MIN_BYTES, FILE_BYTES, BLOCK, DATE, LEVEL = 0, 32_000_000, 512, "1970-01-01T00:00:00Z", 4
 MAGIC, NONE = b"HXINDEX1", -(1 << 63)
@@ -157,12 +157,14 @@ def write(pages: DataFrame, *, folder: str | None = None, min_bytes: int = MIN_B
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), key_of().alias("key"))
     digest = [F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("n")]
     same = rows.select("page_id", *digest).where(F.col("n") >= min_bytes).groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-    rows = rows.select("*", *digest).join(same, ["sha1", "n"], "left")  # a payload with many pages: adaptive execution splits it
+    rows = salted(rows.select("*", *digest), same, ["sha1", "n"], "page_id", "left")  # a payload may have a third of all pages
     rows = rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     entries = stored(map_arrow(rows.select("page_id", "url", "html", "key", "first", "revisit"), lambda b: _archived(b, folder), "key string, page_id long, archive string, offset long, length long"), spark, "captures")
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = entries.repartitionByRange(n, "key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", F.col("page_id").asc_nulls_first(), "archive", "offset")
-    return stored(map_arrow(dealt, lambda b: _indexed(b, folder, block), "uri string, first_key string, first_page long, entries long"), spark, "shards")
+    shards = stored(map_arrow(dealt, lambda b: _indexed(b, folder, block), "uri string, first_key string, first_page long, entries long"), spark, "shards")
+    discard(entries)
+    return shards
 
 
 # ---------------------------------------------------------------- reading
@@ -243,32 +245,44 @@ def lookup(shards: DataFrame, wanted: DataFrame, *, whole_keys: bool = False) ->
             shard, keys, pages = zip(*rows, strict=True) if rows else ((), (), ())
             yield emit(schema, shard=list(shard), key=list(keys), page_id=list(pages))
 
-    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    places = pa.schema([("key", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
-    def fetch(batches):
+    def locate(batches):
         files, at, shard = Files(), -1, None
         for b in batches:
-            out, size = [], 0
+            out = []
             for s, key, page in () if not shared.value[1] else zip(*(b.column(c).to_pylist() for c in ("shard", "key", "page_id")), strict=True):
                 if s != at:
                     at, shard = s, Shard(files, shared.value[1][s])
-                for archive, offset, length in shard.find(key, NONE if page is None and not whole_keys else page):
-                    r = parse(zlib.decompress(files.read(archive, offset, length), 31))
-                    head, response = r["headers"], r["headers"]["warc-type"] == "response"
-                    digest, n = head["warc-payload-digest"].removeprefix("sha1:"), int(r["http"]["content-length"])
-                    if response and (base32(hashlib.sha1(r["payload"]).digest()), len(r["payload"])) != (digest, n):
-                        raise ValueError(f"{archive} at {offset}: the payload doesn't match its digest")
-                    out.append((key, page_of(head["warc-record-id"]), n, digest, head["warc-type"], None if response else page_of(head["warc-refers-to"]), r["payload"] if response else None))
-                    size += len(r["payload"])
-                    if size > 8_000_000:
-                        yield emit(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
-                        out, size = [], 0
+                out += [(key, *place) for place in shard.find(key, NONE if page is None and not whole_keys else page)]
+            if out:
+                yield emit(places, **dict(zip(places.names, map(list, zip(*out, strict=True)), strict=True)))
+
+    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+    def fetch(batches):
+        files = Files()
+        for b in batches:
+            out, size = [], 0
+            for key, archive, offset, length in zip(*(b.column(c).to_pylist() for c in places.names), strict=True):
+                r = parse(zlib.decompress(files.read(archive, offset, length), 31))
+                head, response = r["headers"], r["headers"]["warc-type"] == "response"
+                digest, n = head["warc-payload-digest"].removeprefix("sha1:"), int(r["http"]["content-length"])
+                if response and (base32(hashlib.sha1(r["payload"]).digest()), len(r["payload"])) != (digest, n):
+                    raise ValueError(f"{archive} at {offset}: the payload doesn't match its digest")
+                out.append((key, page_of(head["warc-record-id"]), n, digest, head["warc-type"], None if response else page_of(head["warc-refers-to"]), r["payload"] if response else None))
+                size += len(r["payload"])
+                if size > 8_000_000:
+                    yield emit(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
+                    out, size = [], 0
             if out:
                 yield emit(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
 
     n = max(1, min(len(uris), 100_000))
     placed = map_arrow(wanted, place, f"shard int, {columns}").repartition(n, "shard").sortWithinPartitions("shard", "key", F.col("page_id").asc_nulls_first())
-    return map_arrow(placed, fetch, f"{columns}, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    found = map_arrow(placed, locate, "key string, archive string, offset long, length long")
+    found = found.repartition("archive").sortWithinPartitions("archive", "offset")
+    return map_arrow(found, fetch, f"{columns}, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
