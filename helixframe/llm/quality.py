@@ -79,33 +79,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def _thresholds(p: np.ndarray, d: int) -> np.ndarray:
+    """From parameters: d weights, the first threshold, the logarithms of the gaps between thresholds."""
+    return p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :]))))
+
+
+def loss(p: np.ndarray, d: int, cells: np.ndarray, values: np.ndarray, rows: np.ndarray, grades: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the grades with a ridge on the weights, and its gradient."""
+    n, theta = len(grades), _thresholds(p, d)
+    margin = np.bincount(rows, values * p[cells], n)
+    tails = 1 / (1 + np.exp(-np.clip(margin[:, None] - theta, -40, 40)))
+    upper = np.concatenate((np.ones((n, 1)), tails), 1)  # P(grade >= k)
+    lower = np.concatenate((tails, np.zeros((n, 1))), 1)
+    at = np.arange(n)
+    a, b = upper[at, grades], lower[at, grades]
+    own = np.maximum(a - b, 1e-9)
+    slope_a, slope_b = a * (1 - a) / own, b * (1 - b) / own  # d log p / d(margin - theta) at either end
+    g_margin = -(slope_a - slope_b) / n
+    g_theta = np.array([(slope_a[grades == k + 1].sum() - slope_b[grades == k].sum()) / n for k in range(len(theta))])
+    g = np.concatenate((np.bincount(cells, values * g_margin[rows], d) + ridge * p[:d], [g_theta.sum()], np.exp(p[d + 1 :]) * np.cumsum(g_theta[::-1])[::-1][1:]))
+    return float(-np.log(own).mean() + ridge / 2 * (p[:d] ** 2).sum()), g
+
+
 def fit(cells: np.ndarray, values: np.ndarray, rows: np.ndarray, grades: np.ndarray, top: int = GRADES, steps: int = STEPS, ridge: float = 1e-5) -> Model:
-    """Adam on the mean negative log-likelihood of the cumulative-link model, over all rows in each step."""
+    """Adam on the loss, over all rows in each step."""
     used, cells = np.unique(cells, return_inverse=True)
-    n, d = len(grades), len(used)
+    d = len(used)
     share = [np.clip((grades > k).mean(), 1e-3, 1 - 1e-3) for k in range(top)]
     theta = np.array([-np.log(s / (1 - s)) for s in share])
-    gaps = np.log(np.maximum(np.diff(theta), 0.05))  # thresholds: first, then positive gaps
-    p = np.concatenate((np.zeros(d), theta[:1], gaps))
+    p = np.concatenate((np.zeros(d), theta[:1], np.log(np.maximum(np.diff(theta), 0.05))))
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        theta = p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :]))))
-        margin = np.bincount(rows, values * p[cells], n)
-        upper = np.concatenate((np.ones((n, 1)), sigmoid(margin[:, None] - theta)), 1)  # P(grade >= k)
-        lower = np.concatenate((upper[:, 1:], np.zeros((n, 1))), 1)
-        at = np.arange(n)
-        a, b = upper[at, grades], lower[at, grades]
-        own = np.maximum(a - b, 1e-9)
-        slope_a, slope_b = a * (1 - a) / own, b * (1 - b) / own  # d log p / d(margin - theta) at either end
-        g_margin = -(slope_a - slope_b) / n
-        g_theta = np.array([(slope_a[grades == k + 1].sum() - slope_b[grades == k].sum()) / n for k in range(top)])
-        g = np.concatenate((np.bincount(cells, values * g_margin[rows], d) + ridge * p[:d], [g_theta.sum()], np.exp(p[d + 1 :]) * np.cumsum(g_theta[::-1])[::-1][1:]))
+        g = loss(p, d, cells, values, rows, grades, ridge)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= 0.1 * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[used] = p[:d]
-    return Model(weights, p[d] + np.concatenate(([0.0], np.cumsum(np.exp(p[d + 1 :])))))
+    return Model(weights, _thresholds(p, d))
 
 
 def _features(batches):
