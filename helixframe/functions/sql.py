@@ -28,8 +28,7 @@ _FOUR = f"translate(decode(s, 'ISO-8859-1'), {_BYTES}, '{_DIGITS}')"
 
 
 def _rebased(digits: str, step: int, source: int, target: int, width: int) -> str:
-    number = f"lpad(conv(rpad(substring(d, i * {step} + 1, {step}), {step}, '0'), {source}, {target}), {width}, '0')"
-    return f"element_at(transform(array({digits}), d -> array_join(transform(sequence(0, cast(ceil(greatest(length(d), 1) / {step}) as int) - 1), i -> {number}), '')), 1)"
+    return f"array_join(transform(regexp_extract_all({digits}, '.{{1,{step}}}', 0), x -> lpad(conv(rpad(x, {step}, '0'), {source}, {target}), {width}, '0')), '')"
 
 
 _SEED_BYTE = "if(length(hex(s)) = 0, i % 256, cast(conv(substring(hex(s), (i % cast(greatest(length(hex(s)) / 2, 1) as int)) * 2 + 1, 2), 16, 10) as int))"

@@ -22,11 +22,9 @@ def encode2(seq: Column | str) -> Column:
 def _rebased(digits: Column, step: int, source: int, target: int, width: int) -> Column:
     """Digits of base ``source`` in base ``target``: each ``step`` of them, one 64-bit number, as ``width``; the last ones as if zeros followed.
 
-    The outer lambda holds the digits, so that they are made once, not for each number."""
-    number = lambda d, i: F.lpad(F.conv(F.rpad(F.substring(d, i * step + 1, F.lit(step)), step, "0"), source, target), width, "0")
-    last = lambda d: F.ceil(F.greatest(F.length(d), F.lit(1)) / step).cast("int") - 1
-    whole = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), last(d)), lambda i: number(d, i)), "")
-    return F.element_at(F.transform(F.array(digits), whole), 1)
+    The parts are cut in one scan, since each substring would count characters from the start."""
+    parts = F.regexp_extract_all(digits, F.lit(f".{{1,{step}}}"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.lpad(F.conv(F.rpad(x, step, "0"), source, target), width, "0")), "")
 
 
 def decode2(packed: Column | str, n_bases: Column | str | int) -> Column:
