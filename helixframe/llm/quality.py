@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ._common import _WORD, Words, chunks, crc_mod5, discard, emit, map_arrow, reachable, runs, smallest, span_hashes, stored, table, texts
 
 DIMENSIONS, SAMPLE, MOST_CELLS, GRADES, STEPS = 1 << 16, 20_000, 8_000_000, 2, 300
+#: Bytes of text at once: each word makes three tokens, with their cells and weights.
+CHUNK = 500_000
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Share of a text's weight that each kind of token has.
 KINDS = {"word": 2.0, "prefix": 2.0, "mark": 2.0, "shape": 1.0}
@@ -120,7 +122,7 @@ def fit(cells: np.ndarray, values: np.ndarray, rows: np.ndarray, grades: np.ndar
 
 def _features(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("cells", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         cells, weights, first, _ = tokens(part.column("text"))
         rows = np.repeat(np.arange(part.num_rows), np.diff(first))
         key, inverse = np.unique(rows * DIMENSIONS + cells, return_inverse=True)  # at most DIMENSIONS cells a text, however long
@@ -161,7 +163,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights
 
     def run(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
             tails, count = _tails(part.column("text"), shared.value)
             yield emit(schema, doc_id=part.column("doc_id"), n_words=count, expected_grade=tails.sum(1), tails=list(tails))
 
@@ -176,7 +178,7 @@ def select(docs: DataFrame, model: Model, least: float = 0.5, over: int = 0) ->
 
     @F.arrow_udf("boolean")
     def good(column: pa.Array) -> pa.Array:
-        parts = [_tails(part.column(0), shared.value)[0][:, over] >= least for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])])]
+        parts = [_tails(part.column(0), shared.value)[0][:, over] >= least for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])], most=CHUNK)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
 
     return docs.where(good(F.col("text").cast("string")))

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ._common import Words, chunks, crc_mod5, discard, emit, map_arrow, reachable, smallest, span_hashes, stored, table
 
+#: Bytes of text at once: each word has a cell for each level.
+CHUNK = 500_000
 CELLS, SAMPLE, PRIOR, DRIFT, SIGNIFICANT, LEVELS = 1 << 18, 50_000, 10.0, 0.7, 0.05, (4, 6, 0)
 
 
@@ -124,7 +126,7 @@ def evidence(found: list, n_words: np.ndarray, model: Model) -> tuple[np.ndarray
 
 def _counts(batches):
     n = np.zeros((2, len(LEVELS), CELLS), np.int64)
-    for part in chunks(batches):
+    for part in chunks(batches, most=CHUNK):
         w = Words(part.column("text"))
         toxic, at = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), w.counts()), cells(w)
         for c in (0, 1):
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def best(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
             w = Words(part.column("text"))
             at = cells(w)
             own = own_occurrences(w, at)  # a text's own words don't count for it
@@ -241,7 +243,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS scores
 
     def run(batches):
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
             w, p, passages = _score(part.column("text"), shared.value)
             spans = [
                 [{"first_word": a, "end_word": b, "start_byte": int(w.starts[w.first[i] + a] - w.offsets[i]), "end_byte": int(w.ends[w.first[i] + b - 1] - w.offsets[i]), "score": s, "e_value": e} for a, b, s, e in row]
@@ -261,7 +263,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("boolean")
     def clean(column: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([column], ["text"])
-        parts = [_score(part.column(0), shared.value)[1] < 0.5 for part in chunks([batch])]
+        parts = [_score(part.column(0), shared.value)[1] < 0.5 for part in chunks([batch], most=CHUNK)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
 
     return docs.where(clean(F.col("text").cast("string")))
