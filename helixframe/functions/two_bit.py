@@ -30,8 +30,7 @@ def _rebased(digits: Column, step: int, source: int, target: int, width: int) ->
 def decode2(packed: Column | str, n_bases: Column | str | int) -> Column:
     """Text of the first n bases."""
     n = F.lit(n_bases) if isinstance(n_bases, int) else column(n_bases)
-    size = F.octet_length(column(packed)) * 4
-    first = F.when(n < 0, size * 0).when(n < size, n).when(n >= size, size).cast("int")  # null for a null
+    first = F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0)), F.octet_length(column(packed)) * 4)).cast("int")
     return F.translate(F.substring(_rebased(F.hex(column(packed)), 16, 16, 4, 32), F.lit(1), first), "0123", ORDER)
 
 
