@@ -12,7 +12,8 @@ texts of up to SHORT words few edits can touch every shingle, so these are searc
 
 Exact search: texts similar enough have ceil(similarity * n) words in common, repeats counted, so that they share one of the rarest words of each that make up
 n - ceil(similarity * n) + 1 of its words (prefix filtering; Chaudhuri et al. 2006). Rarity is a count of texts in hashed cells, and any order gives the same links. Texts that share such a
-word are candidates; a word of more than COLD texts has them compared in blocks, of which only pairs within the bounds come out.
+word are candidates; a word of more than COLD texts has them compared in blocks, of which only pairs within the bounds come out. Words are counted one by one only
+if the texts of their cell are more than COLD.
 
 No group is paired out. (1) All members of a bucket are aligned with its smallest one, and those that match hang together, so that n near copies
 take about n alignments. (2) In buckets that are still in several components, up to COLD members are paired across components. Documents of larger ones go
@@ -172,14 +173,19 @@ def prefixes(w: Words, counts: np.ndarray, similarity: float) -> list[np.ndarray
 
 
 def described(batches, counts: np.ndarray, similarity: float):
-    """Per row: the id, its bitmaps, its first bitmap folded to FOLD integers (the same bound, less sharp), and its rarest words (null where ``wide`` is false)."""
-    schema = pa.schema([("id", pa.int64()), ("marks", pa.list_(pa.int64())), ("fold", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
+    """Per row: the id, n, r, its bitmaps, its first bitmap folded to FOLD integers (the same bound, less sharp), and its rarest words (null where ``wide`` is false),
+    without those whose cell no other text has, with the most texts that can hold each: those of its cell."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("marks", pa.list_(pa.int64())), ("fold", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64())), ("most", pa.list_(pa.int64()))])
     for part in chunks(batches):
         w = Words(part.column("text"))
         marks = marked(w)
         fold = np.bitwise_or.reduce(marks[:, : MARKS // 64].reshape(part.num_rows, -1, FOLD), axis=1)
-        rare = [x if wide else None for x, wide in zip(prefixes(w, counts, similarity), part.column("wide").to_pylist(), strict=True)]
-        yield emit(schema, id=part.column("id"), marks=list(marks), fold=list(fold), rare=rare)
+        rare, most = [], []
+        for x, wide in zip(prefixes(w, counts, similarity), part.column("wide").to_pylist(), strict=True):
+            many = counts[x & (CELLS - 1)]
+            rare.append(x[many > 1] if wide else None)
+            most.append(many[many > 1] if wide else None)
+        yield emit(schema, id=part.column("id"), n=part.column("n"), r=part.column("r"), marks=list(marks), fold=list(fold), rare=rare, most=most)
 
 
 def _bounded(batches, similarity: float):
@@ -305,7 +311,7 @@ def aligned(batches, similarity: float):
 def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """(u, v, near) of pairs (u, v); held: (id, text). Up to about LED members of a leader u are aligned in one place, with one copy of its text."""
     salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / LED).alias("salts"))
-    members = salted(pairs, salts, ["u"], "v")
+    members = salted(pairs, salts, ["u"], "v", hint="merge")
     members = members.join(held.withColumnRenamed("id", "v"), "v").select("u", F.pmod(F.xxhash64("v", F.lit(1)), "salts").alias("salt"), "v", "text")
     leaders = salts.join(held.withColumnRenamed("id", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), "text")
     dealt = leaders.union(members).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
@@ -330,9 +336,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ordered(salted(both, low, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = ordered(salted(both, low, ["u"], "v", hint="merge").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = ordered(salted(large, low, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
+        small = ordered(salted(large, low, ["u"], "v", hint="merge").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
         old, now = now, stored(small, spark, "edges")
         discard(old)
     out = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -381,13 +387,13 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     # Copy classes.
     keys = stored(map_arrow(docs, lambda b: drawn(b, shingle, picks, n), "doc_id long, copy_key binary, n_words long, sketches array<long>"), spark, "copies")
     several = keys.groupBy("copy_key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = stored(salted(keys.select("doc_id", "copy_key"), several, ["copy_key"], "doc_id").where("doc_id != copy_id").select("doc_id", "copy_id"), spark, "members")
+    copies = stored(salted(keys.select("doc_id", "copy_key"), several, ["copy_key"], "doc_id", hint="merge").where("doc_id != copy_id").select("doc_id", "copy_id"), spark, "members")
     classes = keys.join(copies, "doc_id", "left_anti").where("n_words > 0").select(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "sketches")
 
     # Buckets and their leaders.
     buckets = classes.select("id", "n", F.explode("sketches").alias("bucket"))
     low = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("members")).where("members > 1").select("bucket", F.col("low.id").alias("lead"), F.col("low.n").alias("n_lead"), "members")
-    within = stored(salted(buckets, low, ["bucket"], "id"), spark, "buckets")
+    within = stored(salted(buckets, low, ["bucket"], "id", hint="merge"), spark, "buckets")
     brief = classes.where(F.col("n") <= short / similarity).select("id", "n")  # all partners of texts of up to ``short`` words
     wanted = within.select("id").union(brief.select("id")).distinct()
     held = stored(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi"), spark, "texts")
@@ -402,26 +408,29 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     with_root = lambda d: d.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("r", F.coalesce("root", "id")).drop("root")
     rest = stored(with_root(within.select("bucket", "id", "n", "members")), spark, "rest")
     open_ = rest.groupBy("bucket").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low != high").select("bucket")
-    open_ = stored(salted(rest, open_, ["bucket"], "id"), spark, "open")
+    open_ = stored(salted(rest, open_, ["bucket"], "id", hint="merge"), spark, "open")
     wide = stored(with_root(open_.where(F.col("members") > cold).select("id", "n").union(brief).distinct()), spark, "wide")
-    some = open_.where(F.col("members") <= cold).select("id").distinct()
+    some = open_.where(F.col("members") <= cold).select("id", "n", "r")
     wide_texts = held.join(wide.select("id"), "id", "left_semi")
-    counted = map_arrow(wide_texts.select("text"), _word_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    counted = map_arrow(wide_texts.select("text"), _word_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
     counts = np.zeros(CELLS, np.int32)
-    counts[counted["cell"]] = np.minimum(counted["n"], 2**31 - 1)
+    counts[counted["cell"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
     shared = spark.sparkContext.broadcast(counts)  # CELLS numbers
-    flagged = some.select("id", F.lit(False).alias("wide")).union(wide.select("id", F.lit(True))).groupBy("id").agg(F.max("wide").alias("wide"))
-    told = stored(map_arrow(held.join(flagged, "id"), lambda b: described(b, shared.value, similarity), "id long, marks array<long>, fold array<long>, rare array<long>"), spark, "marks")
+    flagged = some.withColumn("wide", F.lit(False)).union(wide.select("id", "n", "r", F.lit(True))).groupBy("id", "n", "r").agg(F.max("wide").alias("wide"))
+    told = stored(map_arrow(held.join(flagged, "id"), lambda b: described(b, shared.value, similarity), "id long, n long, r long, marks array<long>, fold array<long>, rare array<long>, most array<long>"), spark, "marks")
     bits = lambda x, y: sum(F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(FOLD))
     folded = F.greatest(bits("folda", "foldb"), bits("foldb", "folda")) <= (1 - similarity) * F.greatest("na", "nb") + 1e-9
     members = open_.where(F.col("members") <= cold).select("bucket", "id", "n", "r")
     pairs = _paired(members, members, ["bucket"], fits)
-    words = told.where("rare is not null").select("id", "fold", F.explode("rare").alias("word")).join(wide, "id")
-    common = words.groupBy("word").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("users")).where("low != high").select("word", "users")
-    words = stored(salted(words, common, ["word"], "id"), spark, "words")
-    seldom, often = words.where(F.col("users") <= cold), words.where(F.col("users") > cold)
+    words = told.where("rare is not null").select("id", "n", "r", "fold", F.inline(F.arrays_zip(F.col("rare").alias("word"), "most")))
+    busy = words.where(F.col("most") > cold)  # only these are counted one by one; the others have at most ``cold`` texts each
+    common = busy.groupBy("word").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("users")).where("low != high").select("word", "users")
+    busy = stored(salted(busy, common, ["word"], "id", hint="merge"), spark, "words")
+    own = ("word", "id", "n", "r", "fold")
+    seldom, often = words.where(F.col("most") <= cold).select(*own).union(busy.where(F.col("users") <= cold).select(*own)), busy.where(F.col("users") > cold)
     blocks = F.ceil(F.col("users") / SPLIT)
-    often = often.join(told.select("id", "marks"), "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), blocks)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    often = often.groupBy("id").agg(F.collect_list(F.struct("word", "users")).alias("common")).join(told.select("id", "n", "r", "marks"), "id").select("id", "n", "r", "marks", F.inline("common"))
+    often = often.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), blocks)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     often = often.select("word", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "id", "n", "r", "marks").repartition("word", "i", "j").sortWithinPartitions("word", "i", "j")
     within_bounds = map_arrow(often, lambda b: _bounded(b, similarity), "a long, b long, na long, nb long")
     pairs = pairs.union(_paired(seldom, seldom, ["word"], fits, folded)).union(within_bounds).distinct()
@@ -431,7 +440,7 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     worded = lambda x, y: only(x, y) <= (1 - similarity) * F.greatest("na", "nb") + 1e-9
     more = pairs.join(side("a"), "a").join(side("b"), "b").where(worded("marksa", "marksb")).where(worded("marksb", "marksa"))
     more = stored(more.select(F.col("a").alias("u"), F.col("b").alias("v")), spark, "pairs")  # the bitmaps' shuffle files go before texts are shuffled
-    for d in (within, root, rest, open_, wide, told, words):
+    for d in (within, root, rest, open_, wide, told, busy):
         discard(d)
     rest_checked = stored(verified(more, held, similarity), spark, "rest")
     for d in (held, more):
@@ -441,7 +450,7 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, picks: int = PICKS, n: in
     degree = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = root.join(degree, "node", "left").select(F.col("node").alias("copy_id"), "root", "n_links")
     out = keys.select("doc_id", "n_words").join(copies, "doc_id", "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), "n_words")
-    out = salted(out, linked, ["copy_id"], "doc_id", "left").withColumn("group_id", F.coalesce("root", "copy_id"))
+    out = salted(out, linked, ["copy_id"], "doc_id", "left", hint="merge").withColumn("group_id", F.coalesce("root", "copy_id"))
     out = out.select("doc_id", "copy_id", "group_id", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.col("group_id")).alias("kept"))
     out = stored(out, spark, "groups")
     for d in (keys, copies, checked, rest_checked, root, chosen):

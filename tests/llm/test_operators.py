@@ -205,6 +205,34 @@ def test_near_dedup_of_repetitive_texts(spark):
     assert got == dict(enumerate(want))
 
 
+def joins(spark, run):
+    """(description, rows out) of each join that ``run()`` executes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    listed, out = store.executionsList(before, 1000), []
+    for i in range(listed.size()):
+        k = listed.apply(i).executionId()
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name():
+                made = (node.metrics().apply(j) for j in range(node.metrics().size()))
+                rows = sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in made if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+                out.append((re.sub(r"#\d+L?", "", node.desc()), rows))
+    return out
+
+
+def test_near_dedup_joins(spark):
+    """Joins by document make a row per document, not one per word of it, and no salted table goes through the driver."""
+    docs = spark.createDataFrame(list(enumerate(crowd(random.Random(2)))), "doc_id long, text string")
+    found = joins(spark, lambda: near_dedup.groups(docs, cold=2))
+    own = [rows for what, rows in found if re.search(r"Join \[id\], \[id\], Inner", what)]
+    assert own and max(own) > 0 and max(own) <= docs.count()
+    split = [what for what, _ in found if "_salt" in what]
+    assert split and not [what for what in split if "Broadcast" in what]
+
+
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_bounds_before_alignment(x, y):
