@@ -461,9 +461,9 @@ def write_files(docs: DataFrame, *, path: str | None = None, end: int = END, fol
     path, folder = path or tokenizer_path(), folder or work_dir(spark, "tokens")
     held = stored(tokenize(docs, path, end), spark, "ids")
     tokens = held.where("counts is null").select("doc_id", "n", "ids")
-    counts = map_arrow(held.where("counts is not null").select("counts"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # as many rows as the vocabulary at most
-    total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
-    total[counts["id"]] = counts["n"]
+    counts = map_arrow(held.where("counts is not null").select("counts"), _counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary at most
+    total = np.zeros(int(counts["id"].to_numpy().max()) + 1 if len(counts) else 1, np.int64)
+    total[counts["id"].to_numpy()] = counts["n"].to_numpy()
     lengths = code_lengths(total)
     parts = min(MOST_PARTS, max(1, int(-(-total.sum() // min(file_tokens, PART_TOKENS)))))
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)[0]))  # a vocabulary of code lengths and codes

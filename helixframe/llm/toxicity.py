@@ -180,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = smallest(rows, sample, "doc_id")  # at most ``sample`` rows of 12 bytes, so the broadcast is bounded
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(crc_mod5() != 0).join(F.broadcast(chosen), "doc_id")
     counted = map_arrow(own.select("text", "toxic"), _counts, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    got = counted.toPandas()  # at most CELLS rows for each level
+    got = {k: x.to_numpy() for k, x in zip(counted.columns, counted.toArrow(), strict=True)}  # at most CELLS rows for each level
     n = np.zeros((2, len(LEVELS) * CELLS))
-    n[0, got.cell], n[1, got.cell] = got.clean, got.toxic
+    n[0, got["cell"]], n[1, got["cell"]] = got["clean"], got["toxic"]
     n = n.reshape(2, len(LEVELS), CELLS)
     total = n[:, -1].sum(1)
     model = Model(n[1].astype(np.float32), n.sum(0).astype(np.float32))
@@ -207,12 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = map_arrow(own.select("doc_id", "text", "toxic"), best, "toxic int, n_words long, doc long, found array<double>, spread array<long>")
     seen = seen.groupBy("doc").agg(F.max(F.struct("toxic", "n_words", "found", "spread")).alias("r")).select("r.*")
     seen = held = stored(seen, spark, "evidence")
-    spread = seen.select(F.posexplode("spread").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 401 rows
+    spread = seen.select(F.posexplode("spread").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 401 rows
     p = np.zeros(401)
-    p[spread["at"]] = spread["n"]
+    p[spread["at"].to_numpy()] = spread["n"].to_numpy()
     model.rate = solve_rate(p / max(1, p.sum()), (np.arange(401) - 200) / 10)
-    clean = seen.where("toxic = 0 and n_words > 0").select("n_words", F.coalesce(F.array_max("found"), F.lit(0.0)).alias("top")).toPandas()  # at most ``sample`` rows
-    model.k = float(1 / max(1e-12, (clean.n_words * np.exp(-model.rate * clean.top)).mean())) if len(clean) else 1.0
+    clean = seen.where("toxic = 0 and n_words > 0").select("n_words", F.coalesce(F.array_max("found"), F.lit(0.0)).alias("top")).toArrow()  # at most ``sample`` rows
+    model.k = float(1 / max(1e-12, (clean["n_words"].to_numpy() * np.exp(-model.rate * clean["top"].to_numpy())).mean())) if len(clean) else 1.0
     calibrated = Model(np.zeros(0), np.zeros(0), rate=model.rate, k=model.k)
 
     def inputs(batches):
@@ -221,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield emit(input_schema, toxic=batch.column("toxic"), best=x[:, 1], all=x[:, 2])
 
     input_schema = pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("all", pa.float64())])
-    rows = map_arrow(seen.select("toxic", "n_words", "found"), inputs, "toxic int, best double, all double").toPandas()  # at most ``sample`` rows
-    model.weights = tuple(logistic(np.column_stack((np.ones(len(rows)), rows["best"], rows["all"])), rows.toxic.to_numpy(float)))
+    rows = map_arrow(seen.select("toxic", "n_words", "found"), inputs, "toxic int, best double, all double").toArrow()  # at most ``sample`` rows
+    model.weights = tuple(logistic(np.column_stack((np.ones(len(rows)), rows["best"], rows["all"])), rows["toxic"].to_numpy().astype(float)))
     discard(held)
     return model
 

@@ -969,6 +969,14 @@ def test_near_dedup_stage_on_repetitive_texts(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == sorted(set(groups_by_edit_distance(texts)))
 
 
+def test_pipeline_gathers_no_row_objects(spark, monkeypatch):
+    """What the stages gather comes as Arrow columns: as Python rows, toxicity's 786,432 counts alone would fill the driver."""
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("toPandas"))
+    docs = table(spark, SF, "documents").limit(60)
+    assert corpus_pipeline.toxicity_stage(spark, docs, SF).count() <= 60
+    assert corpus_pipeline.token_stage(spark, docs, SF).count() == 60
+
+
 def test_queries_equal_their_sql(spark):
     import duckdb
 
