@@ -9,8 +9,8 @@ SCHEMA = "operation string, method string, seq_length int, time_low_ns double, t
 #: A result's pattern, the order of operations in the summary, a line of the summary, the message of an unknown unit, the steps of shown rates.
 PATTERN = r"(?m)^(\w+)/(\w+)/(\d+)\s+time:\s+\[([0-9.]+)\s+(ns|µs|ms|us)\s+([0-9.]+)\s+(ns|µs|ms|us)\s+([0-9.]+)\s+(ns|µs|ms|us)\]"
 OPERATIONS = ("encode", "decode", "roundtrip", "reverse_complement")
-LINE, UNKNOWN = "    %-15s: %10.2f ns [%10.2f - %10.2f]", "Unknown time unit: "
-STEPS = ((1e9, "%.1f G"), (1e6, "%.0f M"), (1e3, "%.0f K"))
+LINE, UNKNOWN = "    %-15s: %10s ns [%10s - %10s]", "Unknown time unit: "
+STEPS = ((1e9, 1, " G"), (1e6, 0, " M"), (1e3, 0, " K"))
 
 
 def to_ns(value: Column, unit: Column) -> Column:
@@ -77,17 +77,23 @@ def error_bars(results: DataFrame) -> DataFrame:
     return results.withColumns({"error_low": F.col("time_median_ns") - F.col("time_low_ns"), "error_high": F.col("time_high_ns") - F.col("time_median_ns")})
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """Text with so many decimals of the exact value, a tie to the even digit, as C and Python print; ``format_string`` rounds the shortest decimal form, ties up."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.call_function("format_number", v, F.lit(f"0.{'0' * digits}" if digits else "0"))
+
+
 def format_throughput(value: Column | str) -> Column:
     """With an SI prefix."""
     v = F.col(value) if isinstance(value, str) else value
-    out = F.format_string("%.0f", v)
-    for by, pattern in reversed(STEPS):
-        out = F.when(v >= by, F.format_string(pattern, v / by)).otherwise(out)
+    out = fixed(v, 0)
+    for by, digits, prefix in reversed(STEPS):
+        out = F.when(v >= by, F.concat(fixed(v / by, digits), F.lit(prefix))).otherwise(out)
     return out
 
 
 def summary(results: DataFrame) -> DataFrame:
     """Results of the known operations in their fixed order, then by length and method, with a line of text each."""
     place = F.array_position(F.array(*map(F.lit, OPERATIONS)), F.col("operation"))
-    line = F.format_string(LINE, "method", "time_median_ns", "time_low_ns", "time_high_ns")
+    line = F.format_string(LINE, "method", *(fixed(c, 2) for c in ("time_median_ns", "time_low_ns", "time_high_ns")))
     return results.withColumn("place", place).where("place > 0").withColumn("line", line).orderBy("place", "seq_length", "method")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,21 @@ def test_log(spark, tmp_path):
         spark.range(1).select(log.to_ns(F.lit(1.0), F.lit("h"))).collect()
 
 
+def test_log_numbers_are_rounded_as_in_sql(spark):
+    """Ties go to the even digit and decimals that only look like ties to the side on which the number lies, as Python and the SQL's printf have it."""
+    def shown(v):
+        by, digits, prefix = next(s for s in ((1e9, 1, " G"), (1e6, 0, " M"), (1e3, 0, " K"), (0, 0, "")) if v >= s[0])
+        return f"{v / (by or 1):.{digits}f}{prefix}"
+
+    random = np.random.default_rng(0)
+    values = [0.5, 1.5, 2.5, 999.5, 2500.0, 3500.0, 2.5e6, 1.15e9, 1.25e9, 2.35e9, 0.0, 1e9, 999_999_999.9, *random.integers(0, 400, 300) * 0.5, *random.integers(0, 1 << 40, 300) / 64.0]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", log.format_throughput("v").alias("s")).collect()
+    assert [(r.v, r.s) for r in rows] == [(v, shown(v)) for v in values]
+    times = [(1.125, 1.005, 123456789012.375), (0.0, 2.675, 8.345)]
+    results = spark.createDataFrame([("encode", "m", 8, *t) for t in times], log.SCHEMA)
+    assert sorted(r.line for r in log.summary(results).collect()) == sorted(f"    {'m':<15}: {m:10.2f} ns [{a:10.2f} - {b:10.2f}]" for a, m, b in times)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.range(500).select("id", F.expr("translate(md5(cast(id as string)), '0123456789abcdef', '-ACMTWYHGRSVKDBN')").alias("seq"))
     df.write.parquet(str(tmp_path / "in"))
