@@ -57,6 +57,28 @@ def test_log(spark, tmp_path):
         spark.range(1).select(log.to_ns(F.lit(1.0), F.lit("h"))).collect()
 
 
+@pytest.mark.parametrize("n", [0, 5000])
+def test_log_csv_is_one_sorted_file_of_many_ranges(spark, tmp_path, monkeypatch, n):
+    """One file, rows in order, header once, and no task that sorts more than a range."""
+    monkeypatch.setattr(log, "RANGE_BYTES", 4096)
+    made = spark.range(n).selectExpr(
+        "element_at(array('encode', 'decode', 'x'), cast(id % 3 + 1 as int)) AS operation", "concat('m', id % 7) AS method", "cast(id % 11 as int) AS seq_length", "id / 8 AS time_low_ns", "id + 0.5D AS time_median_ns", "id * 3D AS time_high_ns"
+    )
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "old.csv").write_text("old")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"csv{n}", "")
+    log.write_csv(made, str(tmp_path / "csv"))
+    spark.sparkContext.setJobGroup("none", "")
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(f"csv{n}") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    files = [p for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv"]
+    assert len(files) == 1 and not list(tmp_path.glob("csv-parts*")) and (not n or max(tasks) > 20)
+    lines = files[0].read_text().splitlines()
+    rows = [(o, m, int(s), *map(float, t)) for o, m, s, *t in (x.split(",") for x in lines[1:])]
+    assert lines[0] == "operation,method,seq_length,time_low_ns,time_median_ns,time_high_ns"
+    assert rows == sorted(tuple(r) for r in made.collect()) and log.read_csv(spark, str(tmp_path / "csv")).count() == n
+
+
 def test_log_numbers_are_rounded_as_in_sql(spark):
     """Ties go to the even digit and decimals that only look like ties to the side on which the number lies, as Python and the SQL's printf have it."""
     def shown(v):
