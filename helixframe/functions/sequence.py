@@ -125,22 +125,25 @@ def cyclic_sequence(n: Column | str, pattern: str = "ACGT") -> Column:
 SEEDED = "ACGTRYSWKMBDHVN-"
 
 
+def bytes_to(alphabet: str) -> str:
+    """The character of each byte, the alphabet over and over."""
+    return "".join(alphabet[x % len(alphabet)] for x in range(256))
+
+
 def seeded_sequence(seed: Column | str, n: Column | str, alphabet: str = SEEDED) -> Column:
     """n characters: the i-th is the alphabet's at seed[i mod length] mod its size; an empty seed counts i itself."""
-    digits, n = F.hex(column(seed)), column(n).cast("int")
-    bytes_ = F.greatest(F.length(digits) / 2, F.lit(1)).cast("int")
-    value = lambda i: F.when(F.length(digits) == 0, i % 256).otherwise(F.conv(F.substring(digits, (i % bytes_) * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    base = lambda i: F.substring(F.lit(alphabet), value(i) % len(alphabet) + 1, F.lit(1))
-    return F.when(n <= 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), base), ""))
+    if "\0" in alphabet:
+        raise ValueError("translate can't give NUL characters")
+    size, n, made = F.octet_length(column(seed).cast("binary")), column(n).cast("int"), bytes_to(alphabet)
+    once = F.when(size == 0, F.lit(made)).otherwise(F.translate(latin1(seed), BYTES, made))
+    return F.substring(F.repeat(once, (n / F.when(size == 0, 256).otherwise(size)).cast("int") + 1), F.lit(1), n)
 
 
 #: The letters of valid sequences.
 LETTERS = "ACGTURYSWKMBDHVN"
+BYTES_TO_LETTER = bytes_to(LETTERS)[:128] + bytes_to(LETTERS.lower())[:128]
 
 
 def valid_iupac_sequence(data: Column | str) -> Column:
     """A valid sequence from any bytes: the low half of each picks a letter or U, its highest bit the case."""
-    digits = F.hex(column(data))
-    high, low = (lambda i, k=k: F.instr(F.lit(HEX), F.substring(digits, i * 2 + k, F.lit(1))) - 1 for k in (1, 2))
-    base = lambda i: F.when(high(i) >= 8, F.lower(F.substring(F.lit(LETTERS), low(i) + 1, F.lit(1)))).otherwise(F.substring(F.lit(LETTERS), low(i) + 1, F.lit(1)))
-    return F.when(F.length(digits) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((F.length(digits) / 2).cast("int"), F.lit(1)) - 1), base), ""))
+    return F.translate(latin1(data), BYTES, BYTES_TO_LETTER)

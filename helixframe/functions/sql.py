@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .alphabet import BYTES_TO_BASE, BYTES_TO_COMPLEMENT, BYTES_TO_HEX, CHARACTERS, COMPLEMENT_HEX, HEX
-from .sequence import LETTERS, SEEDED
+from .sequence import BYTES_TO_LETTER, SEEDED, bytes_to
 from .two_bit import _DIGITS, ORDER
 
 _BYTES = "decode(unhex('" + bytes(range(256)).hex() + "'), 'ISO-8859-1')"
@@ -31,9 +31,7 @@ def _rebased(digits: str, step: int, source: int, target: int, width: int) -> st
     return f"array_join(transform(regexp_extract_all({digits}, '.{{1,{step}}}', 0), x -> lpad(conv(rpad(x, {step}, '0'), {source}, {target}), {width}, '0')), '')"
 
 
-_SEED_BYTE = "if(length(hex(s)) = 0, i % 256, cast(conv(substring(hex(s), (i % cast(greatest(length(hex(s)) / 2, 1) as int)) * 2 + 1, 2), 16, 10) as int))"
-_LETTER = f"substring('{LETTERS}', cast(conv(substring(hex(s), i * 2 + 2, 1), 16, 10) as int) + 1, 1)"
-_MADE = f"array_join(transform(sequence(0, greatest(octet_length(s), 1) - 1), i -> if(substring(hex(s), i * 2 + 1, 1) >= '8', lower({_LETTER}), {_LETTER})), '')"
+_MADE = f"if(octet_length(s) = 0, '{bytes_to(SEEDED)}', translate({_LATIN1}, {_BYTES}, '{bytes_to(SEEDED)}'))"
 
 FUNCTIONS = {
     "dna_encode_pairs": ("s BINARY", "BINARY", f"unhex(substring({_digits('s')}, 1, cast(octet_length(s) / 2 as int) * 2))"),
@@ -42,8 +40,8 @@ FUNCTIONS = {
     "dna_base_to_bits": ("s BINARY", "INT", f"cast(substring({_FOUR}, 1, 1) as int)"),
     "dna_bits_to_base": ("b INT", "STRING", f"substring('{ORDER}', (b & 3) + 1, 1)"),
     "dna_cyclic": ("n INT", "STRING", "substring(repeat('ACGT', cast(n / 4 as int) + 1), 1, n)"),
-    "dna_seeded": ("s BINARY, n INT", "STRING", f"if(n <= 0, '', array_join(transform(sequence(0, greatest(n, 1) - 1), i -> substring('{SEEDED}', ({_SEED_BYTE}) % {len(SEEDED)} + 1, 1)), ''))"),
-    "dna_valid_iupac": ("s BINARY", "STRING", f"if(octet_length(s) = 0, '', {_MADE})"),
+    "dna_seeded": ("s BINARY, n INT", "STRING", f"substring(repeat({_MADE}, cast(n / if(octet_length(s) = 0, 256, octet_length(s)) as int) + 1), 1, n)"),
+    "dna_valid_iupac": ("s BINARY", "STRING", f"translate({_LATIN1}, {_BYTES}, '{BYTES_TO_LETTER}')"),
     "dna_encode": ("s BINARY", "BINARY", _even(_digits("s"))),
     "dna_decode": ("p BINARY, n INT", "STRING", f"substring(translate(hex(p), '{HEX}', '{CHARACTERS}'), 1, greatest(n, 0))"),
     "dna_normalize": ("s BINARY", "STRING", f"translate({_LATIN1}, {_BYTES}, '{BYTES_TO_BASE}')"),

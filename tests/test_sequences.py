@@ -73,6 +73,29 @@ def two_bit(data):
     return bytes(c[i] << 6 | c[i + 1] << 4 | c[i + 2] << 2 | c[i + 3] for i in range(0, len(c), 4))
 
 
+def seeded(seed, n, alphabet):
+    return "".join(alphabet[(seed[i % len(seed)] if seed else i % 256) % len(alphabet)] for i in range(n))
+
+
+def valid(data):
+    return "".join(c.lower() if b >> 7 else c for b, c in ((b, "ACGTURYSWKMBDHVN"[b & 15]) for b in data))
+
+
+def test_generators_equal_model(spark, table):
+    """Each byte of every value, empty and short seeds, lengths below 1, null in and null out; in SQL the same."""
+    H.register(spark)
+    lengths = spark.createDataFrame([(-3,), (0,), (1,), (7,), (600,), (None,)], "k int")
+    x = table.union(table.limit(1).select("id", F.lit(None).cast("binary"))).where("seq is null or octet_length(seq) < 700").union(spark.createDataFrame([(-1, bytearray(range(256)))], "id int, seq binary")).crossJoin(lengths)
+    x = x.select("seq", "k", H.valid_iupac_sequence("seq").alias("v"), F.expr("dna_valid_iupac(seq)").alias("vs"), H.seeded_sequence("seq", "k").alias("m"), F.expr("dna_seeded(seq, k)").alias("ms"), H.seeded_sequence("seq", "k", "xyz").alias("three"))
+    rows = x.collect()
+    assert any(r.seq is None for r in rows) and any(r.seq is not None and not len(r.seq) for r in rows)
+    for r in rows:
+        s = None if r.seq is None else bytes(r.seq)
+        assert r.v == r.vs == (None if s is None else valid(s))
+        of = lambda alphabet: None if s is None or r.k is None else seeded(s, r.k, alphabet)  # noqa: E731, B023
+        assert r.m == r.ms == of("ACGTRYSWKMBDHVN-") and r.three == of("xyz")
+
+
 def test_two_bit_equals_model(spark, table):
     H.register(spark)
     x = table.union(table.limit(1).select("id", F.lit(None).cast("binary"))).withColumn("n", F.octet_length("seq")).withColumn("p", H.encode2("seq"))
