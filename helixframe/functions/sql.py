@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from .alphabet import BYTES_TO_BASE, BYTES_TO_COMPLEMENT, BYTES_TO_HEX, CHARACTERS, COMPLEMENT_HEX, HEX
 from .sequence import BYTES_TO_LETTER, SEEDED, bytes_to
-from .two_bit import _DIGITS, ORDER
+from .two_bit import _DIGITS, ORDER, PAIRS, SPREAD
 
 _BYTES = "decode(unhex('" + bytes(range(256)).hex() + "'), 'ISO-8859-1')"
 _LATIN1 = "decode(s, 'ISO-8859-1')"
@@ -27,16 +27,15 @@ _FITS = "n in (2 * octet_length(p), 2 * octet_length(p) - 1)"
 _FOUR = f"translate(decode(s, 'ISO-8859-1'), {_BYTES}, '{_DIGITS}')"
 
 
-def _rebased(digits: str, step: int, source: int, target: int, width: int) -> str:
-    return f"array_join(transform(regexp_extract_all({digits}, '.{{1,{step}}}', 0), x -> lpad(conv(rpad(x, {step}, '0'), {source}, {target}), {width}, '0')), '')"
-
+_PAIRS = "decode(unhex('" + PAIRS.encode().hex() + "'), 'ISO-8859-1')"
+_PADDED = f"rpad({_FOUR}, cast(ceil(octet_length(s) / 4) as int) * 4, '0')"
 
 _MADE = f"if(octet_length(s) = 0, '{bytes_to(SEEDED)}', translate({_LATIN1}, {_BYTES}, '{bytes_to(SEEDED)}'))"
 
 FUNCTIONS = {
     "dna_encode_pairs": ("s BINARY", "BINARY", f"unhex(substring({_digits('s')}, 1, cast(octet_length(s) / 2 as int) * 2))"),
-    "dna_encode2": ("s BINARY", "BINARY", f"unhex(substring({_rebased(_FOUR, 32, 4, 16, 16)}, 1, 2 * cast(ceil(octet_length(s) / 4) as int)))"),
-    "dna_decode2": ("p BINARY, n INT", "STRING", f"translate(substring({_rebased('hex(p)', 16, 16, 4, 32)}, 1, if(n is null, null, greatest(least(n, 4 * octet_length(p)), 0))), '0123', '{ORDER}')"),
+    "dna_encode2": ("s BINARY", "BINARY", f"unhex(translate(decode(unhex({_PADDED}), 'ISO-8859-1'), {_PAIRS}, '{HEX}'))"),
+    "dna_decode2": ("p BINARY, n INT", "STRING", f"translate(substring(hex(translate(hex(p), '{HEX}', '{SPREAD}')), 1, n), '01234567', '{ORDER * 2}')"),
     "dna_base_to_bits": ("s BINARY", "INT", f"cast(substring({_FOUR}, 1, 1) as int)"),
     "dna_bits_to_base": ("b INT", "STRING", f"substring('{ORDER}', (b & 3) + 1, 1)"),
     "dna_cyclic": ("n INT", "STRING", "substring(repeat('ACGT', cast(n / 4 as int) + 1), 1, n)"),

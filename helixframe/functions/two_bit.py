@@ -5,33 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .alphabet import BYTES
+from .alphabet import BYTES, HEX
 from .sequence import column, latin1
 
 ORDER = "ACGT"
 _DIGITS = "".join(str(max(0, ORDER.find(c.upper()))) if c.isascii() else "0" for c in BYTES)
 
 
-def encode2(seq: Column | str) -> Column:
-    """Packed two-bit codes."""
-    digits = F.translate(latin1(seq), BYTES, _DIGITS)
-    n_bytes = F.ceil(F.octet_length(column(seq).cast("binary")) / 4).cast("int")
-    return F.unhex(F.substring(_rebased(digits, 32, 4, 16, 16), F.lit(1), n_bytes * 2))
-
+#: What ``unhex`` makes of two of the digits 0 to 3, as Latin-1 characters; each stands for one hex digit.
+PAIRS = "".join(chr(16 * a + b) for a in range(4) for b in range(4))
+#: Characters whose own hex digits are, apart from the first one's 4, the two of each hex digit.
+SPREAD = "".join(chr(64 + ord(x)) for x in PAIRS)
 
-def _rebased(digits: Column, step: int, source: int, target: int, width: int) -> Column:
-    """Digits of base ``source`` in base ``target``: each ``step`` of them, one 64-bit number, as ``width``; the last ones as if zeros followed.
 
-    The parts are cut in one scan, since each substring would count characters from the start."""
-    parts = F.regexp_extract_all(digits, F.lit(f".{{1,{step}}}"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.lpad(F.conv(F.rpad(x, step, "0"), source, target), width, "0")), "")
+def encode2(seq: Column | str) -> Column:
+    """Packed two-bit codes: two rounds of pairing digits, by ``unhex``."""
+    size = F.ceil(F.octet_length(column(seq).cast("binary")) / 4).cast("int") * 4
+    digits = F.rpad(F.translate(latin1(seq), BYTES, _DIGITS), size, F.lit("0"))
+    return F.unhex(F.translate(latin1(F.unhex(digits)), PAIRS, HEX))
 
 
 def decode2(packed: Column | str, n_bases: Column | str | int) -> Column:
     """Text of the first n bases."""
     n = F.lit(n_bases) if isinstance(n_bases, int) else column(n_bases)
-    first = F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0)), F.octet_length(column(packed)) * 4)).cast("int")
-    return F.translate(F.substring(_rebased(F.hex(column(packed)), 16, 16, 4, 32), F.lit(1), first), "0123", ORDER)
+    first = F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0)), F.lit(2**31 - 1))).cast("int")
+    return F.translate(F.substring(F.hex(F.translate(F.hex(column(packed)), HEX, SPREAD)), F.lit(1), first), "01234567", ORDER * 2)
 
 
 def base_to_two_bits(base: Column | str) -> Column:

@@ -96,6 +96,17 @@ def test_generators_equal_model(spark, table):
         assert r.m == r.ms == of("ACGTRYSWKMBDHVN-") and r.three == of("xyz")
 
 
+def test_codecs_and_generators_evaluate_no_lambda(spark, table):
+    """Lambdas and lists of matches are interpreted for each character, outside of code generation."""
+    H.register(spark)
+    x = table.withColumn("n", F.octet_length("seq"))
+    columns = {"encode2": H.encode2("seq"), "decode2": H.decode2("seq", "n"), "seeded": H.seeded_sequence("seq", "n"), "valid": H.valid_iupac_sequence("seq")}
+    columns |= {f: F.expr(f) for f in ("dna_encode2(seq)", "dna_decode2(seq, n)", "dna_seeded(seq, n)", "dna_valid_iupac(seq)", "dna_encode_pairs(seq)", "dna_cyclic(n)")}
+    for name, c in columns.items():
+        plan = x.select(c.alias("c"))._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "regexp" not in plan, name
+
+
 def test_two_bit_equals_model(spark, table):
     H.register(spark)
     x = table.union(table.limit(1).select("id", F.lit(None).cast("binary"))).withColumn("n", F.octet_length("seq")).withColumn("p", H.encode2("seq"))
